@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from .packing import op5_best_fit_packing
 from .quality_classifier import op3_quality_classifier
+from .quality_rules import op7_quality_rules
+from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
     "op3_quality_classifier": op3_quality_classifier,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_warc": op8_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_warc": OP8_SQL}
