@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .ann import op1_permutation_index
 from .packing import op5_best_fit_packing
 from .quality_classifier import op3_quality_classifier
 from .quality_rules import op7_quality_rules
 from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
+    "op1_permutation_index": op1_permutation_index,
     "op3_quality_classifier": op3_quality_classifier,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,
