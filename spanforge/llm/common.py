@@ -98,15 +98,15 @@ def tree_sum(parts: DataFrame, dtype: str = "int64") -> np.ndarray | None:
     return np.frombuffer(rows[0][0], dtype) if rows else None
 
 
-def fit_sample(docs: DataFrame, labels: DataFrame, label: str, held_out, rows: int, id_col: str = "doc_id") -> DataFrame:
-    """`docs` with a column `label` (double) for at most `rows` labelled ids outside `held_out(id)`, those of smallest hash.
+def fit_sample(docs: DataFrame, labels: DataFrame, label: str, held_out, rows: int, id_col: str = "doc_id", kind: str = "double") -> DataFrame:
+    """`docs` with columns fit_id and fit_label (of `kind`) for at most `rows` labelled ids outside `held_out(id)`, those of smallest hash.
 
     The labelled ids are the only thing that is broadcast, and `rows` bounds them. Null ids and labels are no examples;
     an id labelled twice counts once, with its smaller label.
     """
     chosen = (
         labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(id_col)))
-        .groupBy(F.col(id_col).alias("fit_id")).agg(F.min(F.col(label)).cast("double").alias("fit_label"))
+        .groupBy(F.col(id_col).alias("fit_id")).agg(F.min(F.col(label)).cast(kind).alias("fit_label"))
         .orderBy(F.xxhash64("fit_id"), "fit_id").limit(rows)
     )
     return docs.join(F.broadcast(chosen), docs[id_col] == chosen["fit_id"])
