@@ -8,6 +8,7 @@ from .packing import op5_best_fit_packing
 from .quality_classifier import op3_quality_classifier
 from .quality_rules import op7_quality_rules
 from .sentencepiece_unigram import op2_sentencepiece
+from .suffix_dedup import op4_suffix_dedup
 from .toxicity import op6_toxicity
 from .warc import OP8_SQL, op8_warc
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_permutation_index": op1_permutation_index,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
