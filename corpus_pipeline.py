@@ -1,10 +1,51 @@
-"""Corpus pipeline: quality, toxicity, near duplicates, repeated passages, packing."""
+"""Corpus pipeline: quality, toxicity, near duplicates, repeated passages, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame that is written as
+Parquet and read again as the next one's documents. All but the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from spanforge.llm import near_dedup, packing, quality_classifier, suffix_dedup, toxicity
+from spanforge.llm.common import staged, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality_classifier.keep_quality(spark, docs, sf_dir)
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go."""
+    return toxicity.drop_toxic(spark, docs, sf_dir)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays."""
+    return near_dedup.keep_one(spark, docs, sf_dir)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of repeated passages go; the documents stay, n_chars is that of the text left."""
+    return suffix_dedup.without_repeats(spark, docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their place in the packed sequences."""
+    return packing.op5_best_fit_packing(spark, sf_dir, docs)
+
+
+STAGES = [("quality", quality), ("toxicity", not_toxic), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("packing", pack)]
+
+#: The stages' models and hashes have no SQL form; tests hold each stage against brute force or held-out labels.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError("stages follow")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table `documents`; what a stage returns is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

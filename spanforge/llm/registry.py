@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import op1_permutation_index
 from .language_id import op10_language_id
+from .near_dedup import op9_minhash_near_dedup
 from .packing import op5_best_fit_packing
 from .quality_classifier import op3_quality_classifier
 from .quality_rules import op7_quality_rules
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
     "op8_warc": op8_warc,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_language_id": op10_language_id,
 }
 

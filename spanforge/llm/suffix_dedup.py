@@ -25,6 +25,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -407,9 +408,9 @@ def repeats(docs: DataFrame, texts: DataFrame, hot: int = HOT) -> DataFrame:
     return out.select("doc", "tie", "at")
 
 
-def cut(text: bytes, ats: list[int] | None, length: int = LENGTH) -> tuple[int, int, bytes]:
+def cut(text: bytes, ats, length: int = LENGTH) -> tuple[int, int, bytes]:
     """(bytes removed, maximal removed runs, what is left) of a text whose windows `ats` are repeats."""
-    if not ats:
+    if ats is None or not len(ats):
         return 0, 0, text
     at = np.sort(np.array(ats, np.int64))
     start, end = at >> 8, (at >> 8) + (at & 255) + length - 1
@@ -452,5 +453,41 @@ def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", with_
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text)
 
 
+def without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Pipeline stage: `docs` with the text that is left and its length; a character cut in two goes. Rows without repeats stay as they are.
+
+    The columns beside the text meet the texts left by doc_id and a hash of the text, so rows that share an id keep their own.
+    """
+    small_batches(spark)
+    tied = bool(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").head(1))
+    texts = packed_texts(docs, "text", "doc_id", tied)
+    keyed = _keyed(docs, "text", "doc_id", tied)
+    spans = repeats(keyed, texts).groupBy("doc", "tie").agg(F.collect_list("at").alias("repeat_ats"))
+    tie = F.xxhash64(F.coalesce("text", F.lit(""))) if tied else F.lit(0).cast("long")
+    rows = docs.withColumns({"repeat_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)), "repeat_tie": tie})
+    spans = spans.withColumnsRenamed({"doc": "repeat_doc", "tie": "repeat_tie"})
+    rows = rows.join(spans, ["repeat_doc", "repeat_tie"], "left")
+    if tied:
+        nth = F.row_number().over(Window.partitionBy("repeat_doc", "repeat_tie").orderBy(F.length("text")))
+        whole = F.array(F.lit(0).cast("long"))  # stands for: the whole text
+        copy = (F.col("repeat_nth") > 1) & (F.octet_length("text") >= LENGTH)
+        rows = rows.withColumn("repeat_nth", nth).withColumn("repeat_ats", F.when(copy, whole).otherwise(F.col("repeat_ats")))
+
+    @F.pandas_udf("string")
+    def left(text: pd.Series, ats: pd.Series) -> pd.Series:
+        def one(t, found):
+            if t is None or found is None:
+                return t
+            return "" if len(found) == 1 and not found[0] else cut(t.encode("utf-8", "replace"), found)[2].decode("utf-8", "ignore")
+
+        return pd.Series([one(t, f) for t, f in zip(text, ats, strict=True)], dtype=object)
+
+    text = F.when(F.col("repeat_ats").isNull(), F.col("text")).otherwise(left("text", "repeat_ats"))
+    rows = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("repeat_ats").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return rows.select(*docs.columns)
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
