@@ -1,4 +1,10 @@
 """Every query of the library outside the optional subpackages, with its SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from .queries import scans
+
+_ALL = {**scans.QUERIES}
+
+QUERIES = {name: query for name, (query, _) in _ALL.items()}
+ORACLE_SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}
