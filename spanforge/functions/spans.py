@@ -13,6 +13,11 @@ SPANS = f"array<{SPAN}>"
 _OPEN, _CLOSE = "\u0001", "\u0002"
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
 def no_spans() -> Column:
     return F.array().cast(SPANS)
 
@@ -28,15 +33,17 @@ def scan(text: Column, pattern: str, max_len: int | None = None, limit: int | No
     can match. Texts that don't match are not folded. Null text: no spans.
     """
     plain = F.translate(text, _OPEN + _CLOSE, "\u0003\u0004")  # sentinels of the same length
-    parts = F.split(F.regexp_replace(plain, pattern, f"{_OPEN}$0{_CLOSE}"), _OPEN)
-    begin = F.struct(F.length(F.element_at(parts, 1)).alias("at"), no_spans().alias("found"))
 
     def step(state: Column, part: Column) -> Column:
         size = F.length(F.substring_index(part, _CLOSE, 1))
         own = span(state["at"], state["at"] + size, text.substr(state["at"] + 1, size))
         return F.struct((state["at"] + F.length(part) - 1).alias("at"), F.array_append(state["found"], own).alias("found"))
 
-    found = F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), begin, step)["found"]
+    def fold(parts: Column) -> Column:
+        begin = F.struct(F.length(F.element_at(parts, 1)).alias("at"), no_spans().alias("found"))
+        return F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), begin, step)["found"]
+
+    found = let(F.split(F.regexp_replace(plain, pattern, f"{_OPEN}$0{_CLOSE}"), _OPEN), fold)
     if max_len is not None:
         found = F.filter(found, lambda x: x["end"] - x["start"] <= max_len)
     if limit is not None:
@@ -103,9 +110,13 @@ def kept_positions(text: Column, dropped: str) -> Column:
 
 def remap(spans: Column, source: Column, kept: Column) -> Column:
     """Spans over a stripped text as spans over its source; dropped characters right behind a span belong to it."""
-    start = lambda x: F.element_at(kept, F.least(x["start"], F.size(kept) - 1) + 1)
-    end = lambda x: F.when(x["end"] >= F.size(kept), F.length(source)).otherwise(F.element_at(kept, F.least(x["end"], F.size(kept) - 1) + 1))
-    return F.transform(spans, lambda x: span(start(x), end(x), source.substr(start(x) + 1, end(x) - start(x))))
+    def moved(places: Column) -> Column:
+        start = lambda x: F.element_at(places, F.least(x["start"], F.size(places) - 1) + 1)
+        end = lambda x: F.when(x["end"] >= F.size(places), F.length(source)).otherwise(F.element_at(places, F.least(x["end"], F.size(places) - 1) + 1))
+        cut = lambda y: span(y["s"], y["e"], source.substr(y["s"] + 1, y["e"] - y["s"]))
+        return F.transform(F.transform(spans, lambda x: F.struct(start(x).alias("s"), end(x).alias("e"))), cut)
+
+    return let(kept, moved)
 
 
 def split_lines(spans: Column) -> Column:
@@ -122,17 +133,15 @@ def split_lines(spans: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Runs without . ! ? and line feeds, with the marks or line feeds that end them; the whole text if there is none."""
-    found = scan(text, r"(?m)[^.!?\n]+(?:[.!?]+|\n+|$)")
     whole = F.when(F.length(text) > 0, F.array(span(F.lit(0), F.length(text), text))).otherwise(no_spans())
-    return F.when(F.size(found) > 0, found).otherwise(whole)
+    return let(scan(text, r"(?m)[^.!?\n]+(?:[.!?]+|\n+|$)"), lambda found: F.when(F.size(found) > 0, found).otherwise(whole))
 
 
-def context_bounds(sentence_spans: Column, start: Column, end: Column, around: int) -> Column:
+def context_bounds(sentence_spans: Column, start: Column, end: Column, around: Column | int) -> Column:
     """struct<start, end> of the `around` sentences before that of `start` to as many after that of `end`."""
     n = F.size(sentence_spans)
     places = F.sequence(F.lit(1), n)
     at = lambda k: F.element_at(sentence_spans, k)
-    first = lambda test: F.element_at(F.filter(places, test), 1)
     i = F.coalesce(
         F.try_element_at(F.filter(places, lambda k: (at(k)["start"] <= start) & (start < at(k)["end"])), F.lit(1)),
         F.try_element_at(F.filter(places, lambda k: start < at(k)["end"]), F.lit(1)), F.lit(1))
@@ -140,18 +149,16 @@ def context_bounds(sentence_spans: Column, start: Column, end: Column, around: i
         F.try_element_at(F.filter(places, lambda k: (at(k)["start"] <= end) & (end <= at(k)["end"])), F.lit(1)),
         F.try_element_at(F.filter(places, lambda k: end >= at(k)["start"]), F.lit(-1)), n)
     low, high = F.greatest(F.lit(1), i - around), F.least(n, j + around)
-    bounds = F.struct(at(low.cast("int"))["start"].alias("start"), at(high.cast("int"))["end"].alias("end"))
+    bounds = let(F.struct(low.cast("int").alias("l"), high.cast("int").alias("h")), lambda k: F.struct(at(k["l"])["start"].alias("start"), at(k["h"])["end"].alias("end")))
     return F.when(n > 0, bounds).otherwise(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end")))
 
 
-def clip_around(snippet: Column, snippet_start: Column, start: Column, end: Column, most: int) -> Column:
-    """At most `most` characters of a snippet, with the span in the middle as far as that goes."""
-    if most <= 0:
-        return snippet
-    size = F.length(snippet)
+def clip_around(snippet: Column, snippet_start: Column, start: Column, end: Column, most: Column | int) -> Column:
+    """At most `most` characters of a snippet, with the span in the middle as far as that goes; 0: all of it."""
+    most = F.lit(most) if isinstance(most, int) else most
+    size, half = F.length(snippet), F.floor(most / 2)
     low = F.greatest(F.lit(0), start - snippet_start)
     high = F.greatest(low, end - snippet_start)
-    first = F.greatest(F.lit(0), F.floor((low + high) / 2) - most // 2)
-    last = F.least(size, first + most)
-    first = F.when(last - first < most, F.greatest(F.lit(0), last - most)).otherwise(first)
-    return F.when(size <= most, snippet).otherwise(snippet.substr((first + 1).cast("int"), (last - first).cast("int")))
+    first = F.greatest(F.lit(0), F.floor((low + high) / 2) - half)
+    first = F.least(first, F.greatest(F.lit(0), size - most))
+    return F.when((size <= most) | (most <= 0), snippet).otherwise(snippet.substr((first + 1).cast("int"), most.cast("int")))

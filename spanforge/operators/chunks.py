@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import spans
+
 RANGES = "array<struct<start:int,end:int>>"
 
 
@@ -18,18 +20,21 @@ def split_ranges(text: Column, chunk: int = 50_000, overlap: int = 2_000) -> Col
     n = F.length(text)
     state = F.struct(F.lit(0).alias("at"), F.lit(False).alias("done"), F.array().cast(RANGES).alias("found"))
 
-    def step(s: Column, _: Column) -> Column:
-        at = s["at"]
-        hard = F.least(n, at + chunk)
-        body = text.substr(at + 1, hard - at)
-        last = lambda mark: F.length(body) - F.length(F.substring_index(body, mark, -1)) - len(mark)
-        paragraph, line = last("\n\n"), last("\n")
-        cut = F.when(paragraph > 0, paragraph).otherwise(line)
-        size = F.when((hard < n) & (cut > chunk // 3), cut + F.when(cut == paragraph, 2).otherwise(1)).otherwise(hard - at)
-        end = at + size
+    def after(s: Column, size: Column) -> Column:
+        end = s["at"] + size
         back = F.greatest(F.lit(0), end - overlap)
-        after = F.struct(F.when(back <= at, end).otherwise(back).alias("at"), (end >= n).alias("done"), F.array_append(s["found"], F.struct(at.alias("start"), end.alias("end"))).alias("found"))
-        return F.when(s["done"] | (at >= n), s).otherwise(after)
+        return F.struct(F.when(back <= s["at"], end).otherwise(back).alias("at"), (end >= n).alias("done"), F.array_append(s["found"], F.struct(s["at"].alias("start"), end.alias("end"))).alias("found"))
+
+    def size(s: Column, body: Column) -> Column:
+        last = lambda mark: F.length(body) - F.length(F.substring_index(body, mark, -1)) - len(mark)
+        marks = F.struct(last("\n\n").alias("paragraph"), last("\n").alias("line"))
+        cut = lambda m: F.when(m["paragraph"] > 0, m["paragraph"] + 2).otherwise(m["line"] + 1)
+        far = lambda m: F.when(m["paragraph"] > 0, m["paragraph"]).otherwise(m["line"]) > chunk // 3
+        return spans.let(marks, lambda m: F.when((s["at"] + chunk < n) & far(m), cut(m)).otherwise(F.length(body)))
+
+    def step(s: Column, _: Column) -> Column:
+        body = text.substr(s["at"] + 1, F.lit(chunk))
+        return F.when(s["done"] | (s["at"] >= n), s).otherwise(spans.let(spans.let(body, lambda b: size(s, b)), lambda k: after(s, k)))
 
     rounds = F.sequence(F.lit(1), F.greatest(F.lit(8), F.floor(n / chunk) * 4 + 8).cast("int"))
     cut = F.aggregate(rounds, state, step)["found"]

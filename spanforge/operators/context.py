@@ -45,82 +45,82 @@ def label_pattern(labels: list[str]) -> str | None:
 
 def cells(line: Column) -> Column:
     """The cells of a row with their place in it: between tabs, else between gaps of two blanks, else single words."""
-    parts = F.split(line, "\t")
     begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{CELL}>").alias("found"))
     step = lambda s, p: F.struct((s["at"] + F.length(p) + 1).alias("at"), F.array_append(s["found"], spans.span(s["at"], s["at"] + F.length(p), F.trim(p))).alias("found"))
-    tabbed = F.aggregate(parts, begin, step)["found"]
+    tabbed = F.aggregate(F.split(line, "\t"), begin, step)["found"]
     gaps = spans.scan(line, r"(?U)\S(?:.*?\S)?(?=\s{2,}|$)")
     words = spans.scan(line, r"(?U)\S+")
-    return F.when(line.contains("\t"), tabbed).when(F.size(gaps) >= 2, gaps).otherwise(words)
+    return F.when(line.contains("\t"), tabbed).otherwise(spans.let(gaps, lambda g: F.when(F.size(g) >= 2, g).otherwise(words)))
 
 
 def lines_above(text: Column, start: Column, most: int, distance: int) -> Column:
     """Lines over the one that holds `start`, nearest first: `most` at most, none that ends more than `distance` characters above."""
-    head = text.substr(F.lit(1), scalar.line_start(text, start) - 1)
-    lines = F.slice(F.reverse(F.split(head, "\n")), 1, most)
     begin = F.struct(F.lit(1).alias("away"), F.array().cast("array<string>").alias("kept"))
     step = lambda s, x: F.struct((s["away"] + F.length(x) + 1).alias("away"), F.when(s["away"] <= distance, F.array_append(s["kept"], x)).otherwise(s["kept"]).alias("kept"))
-    return F.when(scalar.line_start(text, start) > 0, F.aggregate(lines, begin, step)["kept"]).otherwise(F.array().cast("array<string>"))
+
+    def above(line_start: Column) -> Column:
+        lines = F.slice(F.reverse(F.split(text.substr(F.lit(1), line_start - 1), "\n")), 1, most)
+        return F.when(line_start > 0, F.aggregate(lines, begin, step)["kept"]).otherwise(F.array().cast("array<string>"))
+
+    return spans.let(scalar.line_start(text, start), above)
 
 
 def _nearest(found: Column, position: Column) -> Column:
     """The first of the cells whose start is least far from a position."""
     away = F.transform(found, lambda c: F.abs(c["start"] - position))
-    return F.try_element_at(found, F.array_position(away, F.array_min(away)).cast("int"))
+    return spans.let(away, lambda d: F.try_element_at(found, F.array_position(d, F.array_min(d)).cast("int")))
 
 
-def column_header(text: Column, start: Column, above: Column) -> Column:
-    """The header of the column that the span stands in: the nearest line above whose cell at the same place, or else whose
-    header-like cell at the least distance, looks like one. Empty for rows of fewer than two cells."""
-    row = cells(scalar.line_at(text, start))
-    position = start - scalar.line_start(text, start)
-    inside = F.filter(F.sequence(F.lit(1), F.size(row)), lambda k: (F.element_at(row, k)["start"] <= position) & (position <= F.element_at(row, k)["end"]))
-    away = F.transform(row, lambda c: F.abs(c["start"] - position))
-    index = F.coalesce(F.try_element_at(inside, F.lit(1)), F.array_position(away, F.array_min(away))).cast("int")
+def column_header(line: Column, position: Column, above: Column) -> Column:
+    """The header of the column at `position` of a row `line`: the nearest line above whose cell at the same place, or else
+    whose header-like cell at the least distance, looks like one. Empty for rows of fewer than two cells."""
+    def place(row: Column) -> Column:
+        inside = F.filter(F.sequence(F.lit(1), F.size(row)), lambda k: (F.element_at(row, k)["start"] <= position) & (position <= F.element_at(row, k)["end"]))
+        away = spans.let(F.transform(row, lambda c: F.abs(c["start"] - position)), lambda d: F.array_position(d, F.array_min(d)))
+        return F.when(F.size(row) >= 2, F.coalesce(F.try_element_at(inside, F.lit(1)).cast("int"), away.cast("int")))
 
-    def candidate(line: Column) -> Column:
-        own = cells(line)
-        same = F.try_element_at(own, index)["matchString"]
+    def candidate(own: Column, index: Column) -> Column:
         headers = F.filter(own, lambda c: scalar.looks_like_header(c["matchString"]))
-        return F.when(scalar.looks_like_header(F.coalesce(same, F.lit(""))), same).otherwise(F.coalesce(_nearest(headers, position)["matchString"], F.lit("")))
+        same = F.coalesce(F.try_element_at(own, index)["matchString"], F.lit(""))
+        nearest = F.coalesce(spans.let(headers, lambda h: _nearest(h, position))["matchString"], F.lit(""))
+        return spans.let(same, lambda x: F.when(scalar.looks_like_header(x), x).otherwise(nearest))
 
-    found = F.filter(F.transform(above, candidate), lambda c: c != "")
-    return F.when(F.size(row) >= 2, F.coalesce(F.try_element_at(found, F.lit(1)), F.lit(""))).otherwise("")
+    def search(index: Column) -> Column:
+        found = F.filter(F.transform(above, lambda x: spans.let(cells(x), lambda own: candidate(own, index))), lambda c: c != "")
+        return F.when(index.isNotNull(), F.coalesce(F.try_element_at(found, F.lit(1)), F.lit(""))).otherwise("")
 
+    return spans.let(spans.let(cells(line), place), search)
 
-def line_header(above: Column, labels: str | None) -> Column:
+
+def line_header(above: Column, labels: Column) -> Column:
     """The nearest line above with two header-like cells that a label matches."""
-    if not labels:
-        return F.lit("")
-    good = F.filter(above, lambda x: x.rlike(labels) & (F.size(F.filter(cells(x), lambda c: scalar.looks_like_header(c["matchString"]))) >= 2))
-    return F.coalesce(F.trim(F.try_element_at(good, F.lit(1))), F.lit(""))
+    good = F.filter(above, lambda x: F.regexp_like(x, labels) & (F.size(F.filter(cells(x), lambda c: scalar.looks_like_header(c["matchString"]))) >= 2))
+    return F.coalesce(F.trim(spans.let(good, lambda g: F.try_element_at(g, F.lit(1)))), F.lit(""))
 
 
-def header_hint(text: Column, start: Column, labels: str | None, most: int = 64, distance: int = 8000, whole_line: bool = True) -> Column:
+def header_hint(text: Column, start: Column, labels: Column | None, most: int = 64, distance: int = 8000, whole_line: bool = True) -> Column:
     """The column's header; a whole header line instead, where the column's is empty or matches no label."""
-    above = lines_above(text, start, most, distance)
-    own = column_header(text, start, above)
-    if not whole_line or not labels:
-        return own
-    line = line_header(above, labels)
-    return F.when((line != "") & ~own.rlike(labels), line).otherwise(own)
+    def hint(above: Column) -> Column:
+        own = column_header(scalar.line_at(text, start), start - scalar.line_start(text, start), above)
+        if not whole_line or labels is None:
+            return own
+        return spans.let(own, lambda o: F.when(F.regexp_like(o, labels) & (o != ""), o).otherwise(spans.let(line_header(above, labels), lambda h: F.when(h != "", h).otherwise(o))))
+
+    return spans.let(lines_above(text, start, most, distance), hint)
 
 
-def label_window(text: Column, start: Column, end: Column, width: int) -> Column:
+def label_window(text: Column, start: Column, end: Column, width: Column | int) -> Column:
     first = F.greatest(F.lit(0), start - width)
     return text.substr(first + 1, F.least(F.length(text), end + width) - first)
 
 
-def rule_score(text: Column, start: Column, end: Column, match: Column, hint: Column, labels: str | None, hybrid: dict) -> Column:
+def rule_score(text: Column, start: Column, end: Column, match: Column, hint: Column, labels: Column, option: Callable[[str, object], Column]) -> Column:
     """Weights of a label near the span, of a label in the header, and of a value that is mostly digits, in this order."""
-    weight, header = float(hybrid.get("label_weight", 0.3)), float(hybrid.get("table_header_weight", hybrid.get("label_weight", 0.3)))
-    score = F.lit(0.0)
-    if labels:
-        score += F.when(label_window(text, start, end, int(hybrid.get("label_window", 12))).rlike(labels), weight).otherwise(0.0)
-        score += F.when((hint != "") & hint.rlike(labels), header if header > 0 else weight).otherwise(0.0)
-    if digits := float(hybrid.get("digit_weight", 0.2)):
-        score += F.when(scalar.digit_ratio(match) >= float(hybrid.get("digit_min_ratio", 0.6)), digits).otherwise(0.0)
-    return score
+    weight, header, digits = option("label_weight", 0.3), option("table_header_weight", 0.0), option("digit_weight", 0.2)
+    near = F.regexp_like(label_window(text, start, end, option("label_window", 12)), labels)
+    above = (hint != "") & F.regexp_like(hint, labels)
+    score = F.when(near, weight).otherwise(0.0) + F.when(above, F.when(header > 0, header).otherwise(weight)).otherwise(0.0)
+    return score + F.when(scalar.digit_ratio(match) >= option("digit_min_ratio", 0.6), digits).otherwise(0.0)
 
 
 def bank_bonus(snippet: Column, match: Column, banks: list[tuple[str, list[str]]], weight: float) -> Column:
@@ -199,52 +199,58 @@ def explain_context(df: DataFrame, id_cols: list[str], ruleset: str | Bundle = "
     if not keys:
         raise ValueError("no column of a target type")
     options = {k: settings(context, k) for k in keys}
-    if banks:
-        options |= {k: options[k] | {"banks": banks, "bank_weight": bundle.types["BN"].options.get("bank_pattern_weight", 0.25)} for k in keys if k == "BN"}
     embed = method == "embed" and embedder is not None and not force_keyword
-    own = lambda of: by_type(keys, lambda k: of(options[k]))
-    labels = {k: label_pattern(options[k]["labels"]) for k in keys}
-    hybrid = lambda name, default: by_type(keys, lambda k: F.lit(options[k]["hybrid"].get(name, default)))
+    # Settings of the row's type are literals; each measure is one expression over them, whatever the number of types.
+    own = lambda of: by_type(keys, lambda k: F.lit(of(options[k])))
+    words = lambda name: by_type(keys, lambda k: F.array(*map(F.lit, options[k][name])).cast("array<string>"))
+    hybrid = lambda name, default: own(lambda o: float(o["hybrid"].get(name, default)) if isinstance(default, float) else o["hybrid"].get(name, default))
+    labels = own(lambda o: label_pattern(o["labels"]) or "(?!)")
 
     found = F.concat(*[typed(F.col(f"{prefix}{k}"), k) for k in keys])
     rows = df.select(*id_cols, F.coalesce(F.col(text_col), F.lit("")).alias("text"), found.alias("found")).where(F.size("found") > 0)
     rows = rows.withColumn("sentences", spans.sentences(F.col("text"))).select(*id_cols, "text", "sentences", F.inline("found"))
     text, start, end, match = F.col("text"), F.col("start"), F.col("end"), F.col("matchString")
-    rows = rows.withColumn("bounds", own(lambda o: spans.context_bounds(F.col("sentences"), start, end, o["around"]))).drop("sentences")
+    rows = rows.withColumn("bounds", spans.context_bounds(F.col("sentences"), start, end, own(lambda o: o["around"]))).drop("sentences")
     rows = rows.withColumn("snippet", text.substr(F.col("bounds")["start"] + 1, F.col("bounds")["end"] - F.col("bounds")["start"]))
     snippet = F.col("snippet")
     rows = rows.withColumns({"value": scalar.fold_case(F.trim(match)), "line_text": scalar.line_at(text, start), "line": scalar.line_index(text, start)})
     rows = rows.withColumns({"tokens": scalar.token_count(F.col("line_text")), "signature": scalar.row_signature(F.col("line_text"))})
+    held = lambda where, phrases: F.filter(phrases, lambda p: F.contains(F.lower(where), F.lower(p)))
     if embed:
-        rows = rows.withColumn("clipped", own(lambda o: spans.clip_around(snippet, F.col("bounds")["start"], start, end, o["max_chars"])))
+        rows = rows.withColumn("clipped", spans.clip_around(snippet, F.col("bounds")["start"], start, end, own(lambda o: o["max_chars"])))
         rows = embedding_scores(rows, keys, options, embedder).where(F.col("embedding_score").isNotNull()).drop("clipped")
         rows = rows.withColumns({"context_score": F.col("embedding_score"), "context_score_norm": scalar.embedding_norm(F.col("embedding_score"))}).drop("embedding_score")
     else:
-        rows = rows.withColumn("context_score", own(lambda o: scalar.keyword_score(snippet, o["indicators"], o["others"])).cast("double"))
-        rows = rows.withColumn("context_score_norm", own(lambda o: scalar.keyword_norm(F.col("context_score"), len(o["indicators"]))))
-    hints = lambda k: header_hint(text, start, labels[k], int(options[k]["hybrid"].get("table_header_max_lines", 64)), int(options[k]["hybrid"].get("table_header_max_distance_chars", 8000)), bool(options[k]["hybrid"].get("table_header_line_fallback", True))) if options[k]["hybrid"].get("table_header_enabled", True) else F.lit("")
+        rows = rows.withColumn("context_score", (F.size(held(snippet, words("indicators"))) - F.size(held(snippet, words("others")))).cast("double"))
+        number = own(lambda o: len(o["indicators"]))
+        rows = rows.withColumn("context_score_norm", F.when(number > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("context_score") / F.nullif(number, F.lit(0))))).otherwise(0.0))
+    scope = F.when(own(lambda o: o["force_scope"] == "text"), text).otherwise(snippet)
+    most, distance = (int((context.get("hybrid") or {}).get(n, d)) for n, d in (("table_header_max_lines", 64), ("table_header_max_distance_chars", 8000)))
+    hint = header_hint(text, start, labels, most, distance, bool((context.get("hybrid") or {}).get("table_header_line_fallback", True)))
+    known = banks or options.get("BN", {}).get("banks", [])
+    weight = bundle.types["BN"].options.get("bank_pattern_weight", 0.25) if "BN" in bundle.types else 0.25
     rows = rows.withColumns({
-        "force_phrase": own(lambda o: scalar.first_phrase(text if o["force_scope"] == "text" else snippet, o["force"])),
-        "bank": own(lambda o: bank_bonus(snippet, match, o["banks"], o["bank_weight"])),
-        "header_hint": by_type(keys, hints),
+        "force_phrase": F.coalesce(F.try_element_at(held(scope, words("force")), F.lit(1)), F.lit("")),
+        "bank": F.when(F.col("type") == "BN", bank_bonus(snippet, match, known, weight)).otherwise(0.0),
+        "header_hint": F.when(hybrid("table_header_enabled", True), hint).otherwise(""),
     })
-    rows = rows.withColumn("rule", by_type(keys, lambda k: rule_score(text, start, end, match, F.col("header_hint"), labels[k], options[k]["hybrid"])))
+    rows = rows.withColumn("rule", rule_score(text, start, end, match, F.col("header_hint"), labels, hybrid))
     rows = rows.drop("text", "line_text", "bounds")
     rows = with_repeats(rows, [*id_cols, "type"], hybrid)
     base = F.col("context_score_norm") + F.col("bank") + F.col("repeat_bonus")
     total = F.col("context_score_norm") + F.col("rule") + F.col("bank") + F.col("repeat_bonus")
     accept, on = hybrid("accept_threshold", 0.2).cast("double"), hybrid("enabled", False)
-    same = own(lambda o: (F.col("value_count") >= o["same"]) if o["same"] > 1 else F.lit(False))
+    same = (own(lambda o: o["same"]) > 1) & (F.col("value_count") >= own(lambda o: o["same"]))
     by = F.when(same, "repeat_same_match").when(F.col("force_phrase") != "", "force_phrase").when(on & (base >= accept), "hybrid_base").when(on, "hybrid").when(F.col("bank") > 0, "bank_pattern").otherwise("embed" if embed else "keyword")
     rows = rows.withColumn("context_accept_by", by)
-    plain = own(lambda o: F.col("context_score") >= (o["sim_threshold"] if embed else o["threshold"]))
+    plain = F.col("context_score") >= own(lambda o: float(o["sim_threshold"] if embed else o["threshold"]))
     decided = F.col("context_accept_by")
     early = decided.isin("repeat_same_match", "force_phrase")
     rows = rows.withColumns({
         "context_hybrid_score": F.when(early | ~on, F.lit(None)).when(decided == "hybrid_base", base).otherwise(total),
         "context_pass": early | decided.isin("hybrid_base", "bank_pattern") | F.when(decided == "hybrid", total >= accept).otherwise(F.when(on, F.lit(False)).otherwise(plain)),
         "context_header_hint": F.when((decided == "hybrid") & (F.col("header_hint") != ""), F.col("header_hint")),
-        "context_method": F.lit("embed" if embed else "keyword"), "context_window": own(lambda o: F.lit(o["around"])),
+        "context_method": F.lit("embed" if embed else "keyword"), "context_window": own(lambda o: o["around"]),
         "detected_by": F.when(F.col("type") == "DN", "hyperscan:dn").otherwise(F.concat(F.lit("regex:"), F.lower("type"))),
         "context_force_pass_phrase": F.nullif("force_phrase", F.lit("")), "context_repeat_bonus": F.col("repeat_bonus"),
         "context_repeat_count": F.col("repeat_count"), "context_repeat_unique_count": F.col("unique_count"), "context_repeat_structure_ratio": F.col("repeat_ratio"),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import scans
+from .queries import contexts, measures, scans
 
-_ALL = {**scans.QUERIES}
+_ALL = {**scans.QUERIES, **measures.QUERIES, **contexts.QUERIES}
 
 QUERIES = {name: query for name, (query, _) in _ALL.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}
