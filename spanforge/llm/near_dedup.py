@@ -30,9 +30,9 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 3
 #: Size of the table of document counts.
 BUCKETS = 1 << 16
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 #: Elements that are sampled together: arrays of this length stay in the processor's cache.
-AT_ONCE = 1 << 15
+AT_ONCE = 1 << 14
 
 _U = np.uint64
 
