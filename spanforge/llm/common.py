@@ -46,9 +46,13 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def staged(df: DataFrame, name: str = "stage") -> DataFrame:
-    """`df` written to the shared folder and read back: cuts lineage, survives lost executors, is computed once."""
+def staged(df: DataFrame, name: str = "stage", files: int | None = None) -> DataFrame:
+    """`df` written to the shared folder and read back: cuts lineage, survives lost executors, is computed once.
+
+    `files`: at most so many tasks and files, one at least, for a table whose rows were counted or bounded before.
+    """
     spark = df.sparkSession
+    df = df if files is None else df.coalesce(max(1, files))
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -198,13 +198,14 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     met = nodes.select("key", place)
     shared = met.groupBy("band", "bucket").agg(F.min("key").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = staged(met.join(shared, ["band", "bucket"]).select("key", "band", "bucket", "centre"), "buckets")
+    number = members.count()
     texts = _texts(docs).join(members.select("key").distinct(), "key").groupBy("key").agg(F.any_value("z").alias("z"))
-    texts = staged(texts, "candidates")
+    texts = staged(texts, "candidates", number // 2_000)
     found, wide = None, 1
     while True:
         pairs = members.where("key != centre").select("centre", "key").distinct()
         with_texts = pairs.join(texts, "key").join(texts.select(F.col("key").alias("centre"), F.col("z").alias("centre_z")), "centre")
-        tested = staged(with_texts.select("centre", "key", "centre_z", "z").mapInArrow(_compare(idf, threshold), "centre string, key string, near boolean"), "tested")
+        tested = staged(with_texts.select("centre", "key", "centre_z", "z").mapInArrow(_compare(idf, threshold), "centre string, key string, near boolean"), "tested", number // 2_000)
         near = tested.where("near").select("centre", "key")
         found = near if found is None else found.unionByName(near)
         wide *= 2
@@ -214,7 +215,8 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         joint = F.xxhash64("band", *[F.element_at("bands", (F.col("band") + k) % BANDS + 1) for k in range(wide)])
         again = left.join(nodes, "key").select("key", "band", joint.alias("bucket"))
         centres = again.groupBy("band", "bucket").agg(F.min("key").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
-        members = staged(again.join(centres, ["band", "bucket"]).select("key", "band", "bucket", "centre"), "buckets")
+        members = staged(again.join(centres, ["band", "bucket"]).select("key", "band", "bucket", "centre"), "buckets", number // 20_000)
+        number = members.count()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -223,12 +225,13 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the smallest root among the neighbours, then the root's root, so rounds grow with the logarithm of the longest path.
     """
     both = staged(edges.select(F.col("centre").alias("a"), F.col("key").alias("b")).union(edges.select("key", "centre")).distinct(), "links")
-    roots = staged(both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("b")).select("key", F.least("key", "b").alias("root")), "roots")
+    few = both.count() // 100_000
+    roots = staged(both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("b")).select("key", F.least("key", "b").alias("root")), "roots", few)
     while True:
         offered = both.join(roots.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.min("root").alias("offer"))
         lower = roots.join(offered, "key").select("key", F.col("root").alias("was"), F.least("root", "offer").alias("root"))
         up = roots.select(F.col("key").alias("root"), F.col("root").alias("higher"))
-        new = staged(lower.join(up, "root").select("key", "was", F.least("root", "higher").alias("root")), "roots")
+        new = staged(lower.join(up, "root").select("key", "was", F.least("root", "higher").alias("root")), "roots", few)
         changed = not new.where("was != root").isEmpty()
         roots = new.select("key", "root")
         if not changed:

@@ -24,7 +24,9 @@ TRUSTED_ROWS = 20_000
 BUCKETS = 1 << 15
 #: Scores are compared after rounding to this many decimals, so that the order of a sum can't turn a verdict.
 DECIMALS = 9
-THRESHOLD = -0.08
+THRESHOLD = -0.065
+#: N-grams added to the trusted count of a bucket and to the count expected of it, so that few n-grams say little.
+PSEUDO = 8
 _SYMBOLS = b"#*$%&|<>"
 
 
@@ -93,12 +95,13 @@ def counts(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     return np.zeros((2, buckets), np.int64) if found is None else found.reshape(2, buckets)
 
 
-def log_ratio(count: np.ndarray) -> np.ndarray:
-    """log p_trusted - log p_raw of each bucket, both smoothed by one; zeros without trusted n-grams."""
+def log_ratio(count: np.ndarray, pseudo: float = PSEUDO) -> np.ndarray:
+    """log p_trusted - log p_raw of each bucket, over the same scale: the trusted count against the count that the raw
+    multinomial expects of as many n-grams, both smoothed by `pseudo`; zeros without trusted n-grams."""
     if not count[1].sum():
         return np.zeros(count.shape[1])
-    p = (count + 1) / (count.sum(axis=1, keepdims=True) + count.shape[1])
-    return np.log(p[1]) - np.log(p[0])
+    expected = count[0] * (count[1].sum() / count[0].sum())
+    return np.log(count[1] + pseudo) - np.log(expected + pseudo)
 
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean"
