@@ -2,7 +2,7 @@
 
 A text's UTF-8 bytes are cut into windows, the last one padded. Two gated recurrent layers read each window from either
 end; every position gets a distribution over the learnt languages, and a document's probabilities are the mean over all of
-its positions. Training is backpropagation through time over windows of a bounded sample of documents.
+its positions that begin a character. Training is backpropagation through time over windows of a bounded sample of documents.
 
 `und` with score 0 is the answer for texts that are null or without a letter, and for all if there is nothing to learn from.
 Repeated rows are predicted once each; null languages and ids teach nothing; empty input gives no rows.
@@ -92,26 +92,24 @@ class Network:
         return scores
 
     def documents(self, texts: list[bytes], window: int = WINDOW, width: int = WIDTH) -> np.ndarray:
-        """Mean probabilities (texts x L) over all positions; zeros for an empty text."""
+        """Mean probabilities (texts x L) over the positions where a character begins; zeros for an empty text."""
         counts = np.array([-(-len(t) // window) for t in texts])
         total = np.zeros((len(texts), len(self.langs)))
         owner = np.repeat(np.arange(len(texts)), counts)
-        padded = np.zeros(len(owner) * window, np.uint8)
-        used = np.full(len(owner), window)
+        padded, begins = np.zeros(len(owner) * window, np.uint8), np.zeros(len(owner) * window, bool)
         at = 0
         for text, n in zip(texts, counts, strict=True):
-            padded[at : at + len(text)] = np.frombuffer(text, np.uint8)
+            own = np.frombuffer(text, np.uint8)
+            padded[at : at + len(own)] = own
+            begins[at : at + len(own)] = (own & 0xC0) != 0x80
             at += int(n) * window
-            if n:
-                used[at // window - 1] = len(text) - (int(n) - 1) * window
-        grid = padded.reshape(-1, window)
+        grid, begins = padded.reshape(-1, window), begins.reshape(-1, window)
         for low in range(0, len(grid), width):
             p = self.positions(np.ascontiguousarray(grid[low : low + width].T))
-            short = np.flatnonzero(used[low : low + width] < window)
-            for k in short:
-                p[used[low + k] :, :, k] = 0
+            p *= begins[low : low + width].T[:, None, :]
             np.add.at(total, owner[low : low + width], p.sum(axis=0).T)
-        return total / np.maximum(1, np.array([len(t) for t in texts]))[:, None]
+        number = np.bincount(owner, begins.sum(axis=1), len(texts)) if len(owner) else np.ones(len(texts))
+        return total / np.maximum(1, number)[:, None]
 
 
 def gradients(net: Network, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
