@@ -5,6 +5,8 @@ Everything is row-local: no function here shuffles. Folds over spans run only wh
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,8 +31,8 @@ def span(start: Column, end: Column, match: Column) -> Column:
 def scan(text: Column, pattern: str, max_len: int | None = None, limit: int | None = None, needs: str | None = None) -> Column:
     """All matches of a Java regex from left to right, each from the end of the one before.
 
-    Matches longer than `max_len` are dropped, then the first `limit` stay. `needs` is a literal without which no text
-    can match. Texts that don't match are not folded. Null text: no spans.
+    Matches longer than `max_len` are dropped, then the first `limit` stay. `needs` is a literal or a
+    cheap regex without which no text can match: it spares most texts the costly pattern. Texts that don't match are not folded. Null text: no spans.
     """
     plain = F.translate(text, _OPEN + _CLOSE, "\u0003\u0004")  # sentinels of the same length
 
@@ -48,7 +50,9 @@ def scan(text: Column, pattern: str, max_len: int | None = None, limit: int | No
         found = F.filter(found, lambda x: x["end"] - x["start"] <= max_len)
     if limit is not None:
         found = F.slice(found, 1, limit)
-    matches = text.rlike(pattern) if needs is None else text.contains(needs) & text.rlike(pattern)
+    matches = text.rlike(pattern)
+    if needs is not None:
+        matches = (text.contains(needs) if re.escape(needs) == needs else text.rlike(needs)) & matches
     return F.when(matches, found).otherwise(no_spans())
 
 

@@ -78,21 +78,21 @@ def detect(df: DataFrame, ruleset: str | Bundle = "default", text_col: str = "te
     """
     bundle = ruleset if isinstance(ruleset, Bundle) else rules.load(ruleset)
     limit = bundle.limit if limit is None else limit
-    source = F.col(text_col)
-    text = F.coalesce(scalar.strip_zero_width(source) if normalize else source, F.lit(""))
-    out: dict[str, str] = {}
-    for key in (k for k in bundle.steps if k in bundle.types):
-        rule = bundle.types[key]
-        column = f"{prefix}{key}"
-        df = df.withColumn(column, detect_type(text, rule, limit))
-        if rule.checksum:
-            if include_invalid:
-                df = df.withColumn(f"{prefix}{key}_INVALID", valid_numbers(F.col(column), False))
-                out[f"{key}_INVALID"] = f"{prefix}{key}_INVALID"
-            df = df.withColumn(column, valid_numbers(F.col(column)))
-        if strict_structure:
-            df = df.withColumn(column, with_structure(F.col(column), key))
-        out[key] = column
+    source, plain = F.col(text_col), f"{prefix}plain_text_of_{text_col}"
+    df = df.withColumn(plain, F.coalesce(scalar.strip_zero_width(source) if normalize else source, F.lit("")))
+    text = F.col(plain)
+    keys = [k for k in bundle.steps if k in bundle.types]
+    df = df.withColumns({f"{prefix}{k}": detect_type(text, bundle.types[k], limit) for k in keys})
+    out = {k: f"{prefix}{k}" for k in keys}
+    checked: dict[str, Column] = {}
+    for key in (k for k in keys if bundle.types[k].checksum):
+        if include_invalid:
+            out[f"{key}_INVALID"] = f"{prefix}{key}_INVALID"
+            checked[out[f"{key}_INVALID"]] = valid_numbers(F.col(out[key]), False)
+        checked[out[key]] = valid_numbers(F.col(out[key]))
+    df = df.withColumns(checked) if checked else df
+    if strict_structure:
+        df = df.withColumns({out[k]: with_structure(F.col(out[k]), k) for k in keys})
     others = lambda rule: [F.col(out[k]) for k in rule.postfilter.get("reject_overlap_with", []) if k in out]
     if "post_mn" in bundle.steps and "MN" in out:
         df = df.withColumn(out["MN"], filter_phones(F.col(out["MN"]), text, bundle.types["MN"], others(bundle.types["MN"])))
@@ -102,7 +102,7 @@ def detect(df: DataFrame, ruleset: str | Bundle = "default", text_col: str = "te
         odd = source.rlike(f"[{scalar.ZERO_WIDTH}]")
         kept = spans.kept_positions(source, scalar.ZERO_WIDTH)
         df = df.withColumns({c: F.when(odd & (F.size(c) > 0), spans.remap(F.col(c), source, kept)).otherwise(F.col(c)) for c in out.values()})
-    return df
+    return df.drop(plain)
 
 
 def with_meta(df: DataFrame, bundle: Bundle) -> DataFrame:
