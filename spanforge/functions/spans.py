@@ -56,6 +56,35 @@ def scan(text: Column, pattern: str, max_len: int | None = None, limit: int | No
     return F.when(matches, found).otherwise(no_spans())
 
 
+def scan_longest(text: Column, patterns: list[str], union: str, max_len: int | None = None, limit: int | None = None, needs: str | None = None) -> Column:
+    """Like `scan`, but of the patterns that match at the leftmost start the longest match counts. For patterns that don't
+    look behind: each round reads the text from the end of the match before. `union`: all patterns as one."""
+    begin = F.struct(F.lit(0).alias("at"), no_spans().alias("found"))
+
+    def step(state: Column, _: Column) -> Column:
+        def best(rest: Column) -> Column:
+            own = F.array(*[F.struct(F.regexp_instr(rest, F.lit(p)).alias("first"), F.regexp_extract(rest, p, 0).alias("m")) for p in patterns])
+            order = lambda a, b: F.when(a["first"] != b["first"], a["first"] - b["first"]).otherwise(F.length(b["m"]) - F.length(a["m"]))
+            return F.try_element_at(F.array_sort(F.filter(own, lambda x: x["m"] != ""), order), F.lit(1))
+
+        def after(x: Column) -> Column:
+            start = state["at"] + x["first"] - 1
+            own = span(start, start + F.length(x["m"]), x["m"])
+            moved = F.struct((start + F.length(x["m"])).alias("at"), F.array_append(state["found"], own).alias("found"))
+            return F.when(x.isNull(), state).otherwise(moved)
+
+        return let(let(text.substr(state["at"] + 1, F.length(text)), best), after)
+
+    rounds = F.sequence(F.lit(1), F.regexp_count(text, F.lit(union)) + 4)
+    found = F.aggregate(rounds, begin, step)["found"]
+    if max_len is not None:
+        found = F.filter(found, lambda x: x["end"] - x["start"] <= max_len)
+    if limit is not None:
+        found = F.slice(found, 1, limit)
+    matches = text.rlike(union) if needs is None else text.rlike(needs) & text.rlike(union)
+    return F.when(matches, found).otherwise(no_spans())
+
+
 def by_position(spans: Column) -> Column:
     """Sorted by start, then end."""
     order = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["end"] - b["end"])

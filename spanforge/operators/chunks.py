@@ -15,8 +15,9 @@ RANGES = "array<struct<start:int,end:int>>"
 
 def split_ranges(text: Column, chunk: int = 50_000, overlap: int = 2_000) -> Column:
     """Ranges of at most `chunk` characters: each ends behind its last blank line, or else its last line feed, if that is
-    beyond a third of it; the next begins `overlap` characters before."""
+    beyond a third of it; the next begins `overlap` characters before. Null and empty texts have none."""
     overlap = max(0, min(overlap, chunk - 1))
+    text = F.coalesce(text, F.lit(""))
     n = F.length(text)
     state = F.struct(F.lit(0).alias("at"), F.lit(False).alias("done"), F.array().cast(RANGES).alias("found"))
 

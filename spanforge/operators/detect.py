@@ -6,7 +6,7 @@ Null texts have no spans.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import scalar, spans
@@ -18,7 +18,10 @@ TYPES = ("SN", "SSN", "DN", "PN", "MN", "BN", "AN", "EML", "IP")
 
 def detect_type(text: Column, rule: TypeRule, limit: int | None = None) -> Column:
     """Spans of one type before any filter that looks at other types."""
-    found = spans.scan(text, rule.pattern, rule.max_len, limit, rule.needs)
+    if rule.longest:
+        found = spans.scan_longest(text, list(rule.longest), rule.pattern, rule.max_len, limit, rule.needs)
+    else:
+        found = spans.scan(text, rule.pattern, rule.max_len, limit, rule.needs)
     if rule.trim:
         cut = lambda x: spans.span(x["start"], x["start"] + F.length(scalar.trim_address(x["matchString"])), scalar.trim_address(x["matchString"]))
         found = F.transform(found, cut)
@@ -129,6 +132,12 @@ def counts(df: DataFrame, types: list[str], prefix: str = "") -> DataFrame:
     return df.withColumns({f"{k}_CNT": F.size(f"{prefix}{k}") for k in types})
 
 
+def observed(df: DataFrame, name: str, types: list[str], prefix: str = "") -> tuple[DataFrame, Observation]:
+    """`df` with a metric of rows and of spans per type, to be read from the observation after an action."""
+    watch = Observation(name)
+    return df.observe(watch, F.count(F.lit(1)).alias("rows"), *[F.sum(F.size(f"{prefix}{k}")).alias(k) for k in types]), watch
+
+
 def prune(df: DataFrame) -> DataFrame:
     """Long-form spans without invalid numbers and spans that the context filter rejected."""
     return df.where((F.col("type") != "SN_INVALID") & ~F.col("type").endswith("_CTX_REJECTED"))

@@ -76,13 +76,15 @@ def updated_at(mtimes: list[float]) -> str:
 
 @dataclass(frozen=True)
 class TypeRule:
-    """One entity type, compiled: `pattern` is a Java regex with Unicode classes over all of its alternatives."""
+    """One entity type, compiled: `pattern` is a Java regex with Unicode classes over all of its alternatives; `longest` has
+    them one by one where the longest has to win."""
 
     key: str
     pattern: str
     max_len: int
     min_len: int = 0
     needs: str | None = None
+    longest: tuple[str, ...] = ()
     trim: bool = False
     checksum: bool = False
     postfilter: dict = field(default_factory=dict)
@@ -96,7 +98,7 @@ def alternation(patterns: list[str]) -> str:
 def compile_type(key: str, doc: dict, default_len: int = 240) -> TypeRule:
     return TypeRule(
         key, alternation(doc["patterns"]), int(doc.get("max_match_len", default_len)), int(doc.get("min_match_len", 0)), doc.get("needs"),
-        bool(doc.get("trim", False)), bool(doc.get("checksum", False)), doc.get("postfilter") or {}, {k: v for k, v in doc.items() if k.startswith("bank_")},
+        tuple(f"(?U){p}" for p in doc["patterns"]) if doc.get("longest") else (), bool(doc.get("trim", False)), bool(doc.get("checksum", False)), doc.get("postfilter") or {}, {k: v for k, v in doc.items() if k.startswith("bank_")},
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import rules
@@ -38,6 +38,16 @@ def write_response(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "true").json(path)
 
 
+def with_defaults(found: Column) -> Column:
+    """Scored spans with the defaults of a fixed wire format for what is absent: false, zero, empty."""
+    fields = {"isValid": F.lit(False), "context_score": F.lit(0.0), "context_score_norm": F.lit(0.0), "context_hybrid_score": F.lit(0.0), "context_method": F.lit(""), "context_accept_by": F.lit(""), "context_pass": F.lit(False), "detected_by": F.lit("")}
+
+    def item(x: Column) -> Column:
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["matchString"].alias("matchString"), *[F.coalesce(x[k], v).alias(k) for k, v in fields.items()])
+
+    return F.transform(found, item)
+
+
 def rulesets(spark: SparkSession, folder: str | Path = rules.RULES) -> DataFrame:
     """name, version, updated_at, steps of every ruleset in a folder."""
     rows = [(b.name, b.version, b.updated_at, b.steps) for b in rules.list_rulesets(folder)]
