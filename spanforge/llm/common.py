@@ -29,9 +29,7 @@ def shared_root(spark: SparkSession) -> str:
     """
     sc = spark.sparkContext
     if sc.applicationId not in _roots:
-        base = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="staging-")
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(base)
+        base = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="staging-")
         root = f"{base.rstrip('/')}/staging-{uuid.uuid4().hex}"
         _roots[sc.applicationId] = root
         atexit.register(_remove, spark, root)
