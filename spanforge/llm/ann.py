@@ -5,7 +5,8 @@ pivot, with the place that the pivot has in the row's order. A query reads the f
 up the footrule distance of the two orders, takes the best share of the block and ranks it by the true cosine.
 
 Vectors and queries are dealt into blocks by a hash of their id, so equal vectors spread evenly and a task holds two blocks,
-whatever the input. Pivots are the only fitted part: PIVOTS distinct vectors of smallest id hash.
+whatever the input. Pivots are the only fitted part: of four times PIVOTS vectors of smallest id hash the first PIVOTS that
+aren't alike, so that a vector with many near copies is one pivot.
 
 Vectors that are null, zero or hold null or non-finite components take no part, nor do those whose length isn't the most
 common one. Ties go to the smaller id; repeated ids are candidates once each. Extra columns are ignored.
@@ -24,7 +25,7 @@ PIVOTS = 512
 #: How many of its nearest pivots represent a vector.
 PREFIX = 96
 #: Share of a block, and least number of its rows, that the footrule distance leaves for the true measure.
-SHARE, LEAST = 0.15, 400
+SHARE, LEAST = 0.25, 400
 BLOCK = 16_384
 
 
@@ -37,6 +38,15 @@ def _order(unit: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return np.argsort(-(unit @ pivots.T), axis=1, kind="stable")[:, :prefix]
 
 
+def spread(unit: np.ndarray, number: int, alike: float = 0.8) -> np.ndarray:
+    """The first `number` of the vectors that aren't alike: a cosine above `alike` with an earlier one would waste a pivot."""
+    chosen: list[np.ndarray] = []
+    for v in unit:
+        if len(chosen) < number and (not chosen or float(np.max(np.array(chosen) @ v)) < alike):
+            chosen.append(v)
+    return np.array(chosen)
+
+
 class PermutationBlock:
     """The inverted files of one block; rows must ascend by id."""
 
@@ -87,8 +97,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
         return spark.createDataFrame([], empty)
     rows = rows.where(F.size("v") == sizes["d"])
     seeds = np.array([r[0] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(4 * pivots).select("v").collect()])
-    first = np.sort(np.unique(seeds, axis=0, return_index=True)[1])[:pivots]
-    anchors = _unit(seeds[first])
+    anchors = spread(_unit(seeds), pivots)
     across, down = -(-sizes["n"] // block), -(-sizes["q"] // block)
     deal = lambda seed, n: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
     left = rows.select("vec_id", "v", deal(1, across).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("b"))
