@@ -4,9 +4,10 @@ A shingle is five words; a text of fewer words is one shingle. Its weight is its
 frequency of its words, from document counts of all texts over hashed words (a table of fixed size). Each text gets
 BANDS x ROWS samples; texts that agree in a band meet in its bucket.
 
-Equal texts are one node throughout, whatever their number. In a bucket all nodes are compared with its first one, never
-with each other; those that differ from it by more than the threshold meet again in buckets of two, then four bands, each
-time with a first one of their own, so the pairs are as many as the memberships. Verification is exact, on whole texts.
+Equal texts are one node throughout, whatever their number. The first node of a bucket is the one whose buckets hold most
+nodes altogether: of a text and its near copies the text itself. All nodes are compared with it, never with each other;
+those unlike it are compared with the next CENTRES - 1, and with the first CENTRES of all nodes that share two, three and
+four bands with them, so the pairs grow with the memberships. Verification is exact, on whole texts.
 Classes are the components of the verified links. A pair at the threshold shares a band with probability 0.9998, and more
 than half of the bands on average.
 
@@ -28,6 +29,8 @@ from .common import small_batches, staged, table, text_bytes, tree_sum
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 3
+#: Nodes of a bucket that those are compared with which aren't like its first.
+CENTRES = 5
 #: Size of the table of document counts.
 BUCKETS = 1 << 16
 CACHE_WORDS = 100_000
@@ -196,27 +199,36 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     nodes = staged(signed.groupBy("key").agg(F.any_value("bands").alias("bands")), "signatures")
     place = F.posexplode("bands").alias("band", "bucket")
     met = nodes.select("key", place)
-    shared = met.groupBy("band", "bucket").agg(F.min("key").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = staged(met.join(shared, ["band", "bucket"]).select("key", "band", "bucket", "centre"), "buckets")
+    shared = met.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = staged(met.join(shared, ["band", "bucket"]).select("key", "band", "bucket", "n"), "buckets")
     number = members.count()
     texts = _texts(docs).join(members.select("key").distinct(), "key").groupBy("key").agg(F.any_value("z").alias("z"))
     texts = staged(texts, "candidates", number // 2_000)
-    found, wide = None, 1
-    while True:
-        pairs = members.where("key != centre").select("centre", "key").distinct()
+
+    def tested(pairs: DataFrame, most: int) -> DataFrame:
+        pairs = pairs.where("key != centre").select("centre", "key").distinct()
         with_texts = pairs.join(texts, "key").join(texts.select(F.col("key").alias("centre"), F.col("z").alias("centre_z")), "centre")
-        tested = staged(with_texts.select("centre", "key", "centre_z", "z").mapInArrow(_compare(idf, threshold), "centre string, key string, near boolean"), "tested", number // 2_000)
-        near = tested.where("near").select("centre", "key")
-        found = near if found is None else found.unionByName(near)
-        wide *= 2
-        if wide > 4:
-            return found
-        left = members.join(tested.where("not near").select("centre", "key"), ["centre", "key"], "left_semi").select("key", "band")
+        return staged(with_texts.select("centre", "key", "centre_z", "z").mapInArrow(_compare(idf, threshold), "centre string, key string, near boolean"), "tested", most // 2_000)
+
+    # Those that share most with others come first: of a text and its near copies the text, which is nearest to all.
+    degree = members.groupBy("key").agg(F.sum("n").alias("degree"))
+    order = F.row_number().over(Window.partitionBy("band", "bucket").orderBy(F.desc("degree"), "key"))
+    centres = staged(members.join(degree, "key").withColumn("rank", order).where(F.col("rank") <= CENTRES).select("band", "bucket", "rank", F.col("key").alias("centre")), "centres", number // 20_000)
+    first = members.drop("n").join(centres.where("rank = 1").drop("rank"), ["band", "bucket"])
+    done = tested(first, number)
+    found = done.where("near").select("centre", "key")
+    left = staged(first.join(done.where("not near").select("centre", "key"), ["centre", "key"], "left_semi").select("key", "band", "bucket"), "left", number // 20_000)
+    few = left.count()
+    done = tested(left.join(centres.where("rank > 1").drop("rank"), ["band", "bucket"]), few * (CENTRES - 1))
+    found = found.unionByName(done.where("near").select("centre", "key"))
+    for wide in (2, 3, 4):
         joint = F.xxhash64("band", *[F.element_at("bands", (F.col("band") + k) % BANDS + 1) for k in range(wide)])
-        again = left.join(nodes, "key").select("key", "band", joint.alias("bucket"))
-        centres = again.groupBy("band", "bucket").agg(F.min("key").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
-        members = staged(again.join(centres, ["band", "bucket"]).select("key", "band", "bucket", "centre"), "buckets", number // 20_000)
-        number = members.count()
+        asked = left.select("key", "band").join(nodes, "key").select("key", "band", joint.alias("bucket"))
+        held = members.select("key", "band").join(nodes, "key").select("key", "band", joint.alias("bucket")).join(asked.select("band", "bucket").distinct(), ["band", "bucket"], "left_semi")
+        heads = held.join(degree, "key").withColumn("rank", order).where(F.col("rank") <= CENTRES).select("band", "bucket", F.col("key").alias("centre"))
+        done = tested(asked.join(heads, ["band", "bucket"]), few * CENTRES)
+        found = found.unionByName(done.where("near").select("centre", "key"))
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
