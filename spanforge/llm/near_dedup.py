@@ -6,7 +6,7 @@ BANDS x ROWS samples; texts that agree in a band meet in its bucket.
 
 Equal texts are one node throughout, whatever their number. The first node of a bucket is the one whose buckets hold most
 nodes altogether: of a text and its near copies the text itself. All nodes are compared with it, never with each other;
-those unlike it are compared with the next CENTRES - 1, and with the first CENTRES of all nodes that share two, three and
+those unlike it are compared with the next CENTRES - 1, and with the first NARROW of all nodes that share two, three and
 four bands with them, so the pairs grow with the memberships. Verification is exact, on whole texts.
 Classes are the components of the verified links. A pair at the threshold shares a band with probability 0.9998, and more
 than half of the bands on average.
@@ -29,8 +29,8 @@ from .common import small_batches, staged, table, text_bytes, tree_sum
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 3
-#: Nodes of a bucket that those are compared with which aren't like its first.
-CENTRES = 5
+#: Nodes of a bucket, and of narrower ones, that those are compared with which aren't like the bucket's first.
+CENTRES, NARROW = 48, 5
 #: Size of the table of document counts.
 BUCKETS = 1 << 16
 CACHE_WORDS = 100_000
@@ -225,8 +225,8 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         joint = F.xxhash64("band", *[F.element_at("bands", (F.col("band") + k) % BANDS + 1) for k in range(wide)])
         asked = left.select("key", "band").join(nodes, "key").select("key", "band", joint.alias("bucket"))
         held = members.select("key", "band").join(nodes, "key").select("key", "band", joint.alias("bucket")).join(asked.select("band", "bucket").distinct(), ["band", "bucket"], "left_semi")
-        heads = held.join(degree, "key").withColumn("rank", order).where(F.col("rank") <= CENTRES).select("band", "bucket", F.col("key").alias("centre"))
-        done = tested(asked.join(heads, ["band", "bucket"]), few * CENTRES)
+        heads = held.join(degree, "key").withColumn("rank", order).where(F.col("rank") <= NARROW).select("band", "bucket", F.col("key").alias("centre"))
+        done = tested(asked.join(heads, ["band", "bucket"]), few * NARROW)
         found = found.unionByName(done.where("near").select("centre", "key"))
     return found
 
