@@ -5,10 +5,11 @@ frequency of its words, from document counts of all texts over hashed words (a t
 BANDS x ROWS samples; texts that agree in a band meet in its bucket.
 
 Equal texts are one node throughout, whatever their number. The first node of a bucket is the one whose buckets hold most
-nodes altogether: of a text and its near copies the text itself. All nodes are compared with it, never with each other;
-those unlike it are compared with the next CENTRES - 1, and with the first NARROW of all nodes that share two, three and
-four bands with them, so the pairs grow with the memberships. Verification is exact, on whole texts.
-Classes are the components of the verified links. A pair at the threshold shares a band with probability 0.9998, and more
+nodes altogether: of a text and its near copies the text itself. All nodes are compared with it; those unlike it are
+compared with all others of the bucket if it holds at most CENTRES nodes. Larger buckets whose nodes aren't one component
+then are searched by prefixes: with shingles in a common order, rare ones first, two sets as alike as the threshold share one
+among their first, and what follows it weighs enough in both. That bound is exact, so every pair of such a bucket is either
+in one component, ruled out by the bound or compared. Verification is exact, on whole texts. Classes are the components of the verified links. A pair at the threshold shares a band with probability 0.9998, and more
 than half of the bands on average.
 
 A class's id is its smallest doc_id (null if all of its rows lack one). Null texts are empty; empty texts are equal to each
@@ -29,8 +30,10 @@ from .common import small_batches, staged, table, text_bytes, tree_sum
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 3
-#: Nodes of a bucket, and of narrower ones, that those are compared with which aren't like the bucket's first.
-CENTRES, NARROW = 48, 5
+#: Nodes of a bucket that is compared pair by pair; larger ones are searched by prefixes.
+CENTRES = 48
+#: Bounds on sums of weights are loosened by this share, so that rounding rules out no pair.
+SLACK = 1e-6
 #: Size of the table of document counts.
 BUCKETS = 1 << 16
 CACHE_WORDS = 100_000
@@ -213,22 +216,85 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # Those that share most with others come first: of a text and its near copies the text, which is nearest to all.
     degree = members.groupBy("key").agg(F.sum("n").alias("degree"))
     order = F.row_number().over(Window.partitionBy("band", "bucket").orderBy(F.desc("degree"), "key"))
-    centres = staged(members.join(degree, "key").withColumn("rank", order).where(F.col("rank") <= CENTRES).select("band", "bucket", "rank", F.col("key").alias("centre")), "centres", number // 20_000)
-    first = members.drop("n").join(centres.where("rank = 1").drop("rank"), ["band", "bucket"])
+    ranked = members.join(degree, "key").withColumn("rank", order).where((F.col("rank") == 1) | (F.col("n") <= CENTRES))
+    centres = staged(ranked.select("band", "bucket", "rank", F.col("key").alias("centre")), "centres", number // 20_000)
+    first = members.join(centres.where("rank = 1").drop("rank"), ["band", "bucket"])
     done = tested(first, number)
     found = done.where("near").select("centre", "key")
-    left = staged(first.join(done.where("not near").select("centre", "key"), ["centre", "key"], "left_semi").select("key", "band", "bucket"), "left", number // 20_000)
-    few = left.count()
-    done = tested(left.join(centres.where("rank > 1").drop("rank"), ["band", "bucket"]), few * (CENTRES - 1))
+    left = first.where(F.col("n") <= CENTRES).join(done.where("not near").select("centre", "key"), ["centre", "key"], "left_semi")
+    left = staged(left.select("key", "band", "bucket"), "left", number // 20_000)
+    done = tested(left.join(centres.where("rank > 1").drop("rank"), ["band", "bucket"]), left.count() * (CENTRES - 1))
     found = found.unionByName(done.where("near").select("centre", "key"))
-    for wide in (2, 3, 4):
-        joint = F.xxhash64("band", *[F.element_at("bands", (F.col("band") + k) % BANDS + 1) for k in range(wide)])
-        asked = left.select("key", "band").join(nodes, "key").select("key", "band", joint.alias("bucket"))
-        held = members.select("key", "band").join(nodes, "key").select("key", "band", joint.alias("bucket")).join(asked.select("band", "bucket").distinct(), ["band", "bucket"], "left_semi")
-        heads = held.join(degree, "key").withColumn("rank", order).where(F.col("rank") <= NARROW).select("band", "bucket", F.col("key").alias("centre"))
-        done = tested(asked.join(heads, ["band", "bucket"]), few * NARROW)
-        found = found.unionByName(done.where("near").select("centre", "key"))
-    return found
+    apart = staged(open_nodes(members.where(F.col("n") > CENTRES), found), "open", number // 20_000)
+    if apart.isEmpty():
+        return found
+    pairs = staged(prefix_pairs(texts.join(apart, "key"), idf, threshold), "pairs")
+    done = tested(pairs, pairs.count())
+    return found.unionByName(done.where("near").select("centre", "key"))
+
+
+def open_nodes(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, root): the nodes of all buckets of `members` that `found` doesn't join to one component."""
+    rooted = members.join(components(found), "key", "left").select("key", "band", "bucket", F.coalesce("root", "key").alias("root"))
+    several = rooted.groupBy("band", "bucket").agg(F.min("root").alias("one"), F.max("root").alias("two")).where("one != two")
+    return rooted.join(several, ["band", "bucket"], "left_semi").select("key", "root").distinct()
+
+
+def _rarity(idf: np.ndarray, size: int):
+    def run(batches):
+        shingler, unpack, total = Shingler(idf), zstandard.ZstdDecompressor(), np.zeros(size, np.int32)
+        for batch in batches:
+            for z in batch.column(0).to_pylist():
+                total += np.bincount((shingler.weighted(unpack.decompress(z))[0] % _U(size)).astype(np.int64), minlength=size).astype(np.int32)
+        yield pa.RecordBatch.from_pydict({"part": [total.tobytes()]})
+
+    return run
+
+
+def prefix(shingle: np.ndarray, weight: np.ndarray, rarity: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """(shingles, weight from each on, weight of all) of the first shingles of a set, one of which any set as alike shares.
+
+    If the first shared shingle came later, all that is shared would weigh less than `threshold` of the set.
+    """
+    by = np.lexsort((shingle, rarity[(shingle % _U(len(rarity))).astype(np.int64)]))
+    rest = np.cumsum(weight[by][::-1].astype(float))[::-1]
+    kept = int((rest >= threshold * rest[0] * (1 - SLACK)).sum())
+    return shingle[by[:kept]], rest[:kept], float(rest[0])
+
+
+def _prefixes(idf: np.ndarray, rarity: np.ndarray, threshold: float):
+    def run(batches):
+        shingler, unpack = Shingler(idf), zstandard.ZstdDecompressor()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                own = [prefix(*shingler.weighted(unpack.decompress(z)), rarity, threshold) for z in part.column(0).to_pylist()]
+                of = pa.array(np.repeat(np.arange(len(own)), [len(s) for s, _, _ in own]))
+                total = pa.array([t for _, _, t in own], pa.float64())
+                columns = [pa.array(np.concatenate([s for s, _, _ in own]).view(np.int64)), part.column(1).take(of), part.column(2).take(of), pa.array(np.concatenate([r for _, r, _ in own])), total.take(of)]
+                yield pa.RecordBatch.from_arrays(columns, ["shingle", "key", "root", "rest", "total"])
+
+    return run
+
+
+def prefix_pairs(texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """(centre, key): all pairs of `texts` (key, z, root) of unlike root that may be as alike as `threshold`.
+
+    What two such sets share weighs threshold / (1 + threshold) of both together or more, and lies from their first shared
+    shingle on. The table of shingle counts only orders the shingles; any order gives right results.
+    """
+    texts = staged(texts.select("z", "key", "root"), "apart")
+    size = 1 << min(22, max(16, (32 * texts.count()).bit_length()))
+    rarity = tree_sum(texts.select("z").mapInArrow(_rarity(idf, size), "part binary"), "int32")
+    firsts = staged(texts.mapInArrow(_prefixes(idf, rarity, threshold), "shingle long, key string, root string, rest double, total double"), "prefixes")
+    # Nodes of a shingle's largest component never meet each other.
+    largest = firsts.groupBy("shingle", "root").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("roots"))
+    held = staged(firsts.join(largest.where("roots > 1").drop("roots"), "shingle"), "shared")
+    other = held.where("root != most").select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("key", "root", "rest", "total")])
+    once = (F.col("root") == F.col("most")) | (F.col("key") < F.col("other_key"))
+    enough = F.least("rest", "other_rest") >= (F.col("total") + F.col("other_total")) * (threshold / (1 + threshold) * (1 - SLACK))
+    met = held.join(other, "shingle").where((F.col("root") != F.col("other_root")) & once & enough)
+    return met.select(F.least("key", "other_key").alias("centre"), F.greatest("key", "other_key").alias("key")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -57,6 +57,32 @@ def test_classes_against_brute_force(spark):
     assert got == [100 + k for k in expected]
 
 
+def test_pairs_in_a_large_family_of_one_template(spark):
+    """Texts of one template are 0.7 alike; pairs among them that are 0.8 alike meet mostly in buckets of the whole family."""
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"w{k}" for k in rng.integers(0, 5000, n)]
+    template, texts = word(400), []
+    for _ in range(250):
+        own = word(13)
+        texts += [" ".join(template + own), " ".join(template + own[:7] + word(6)), " ".join(template + word(13))]
+    shingles = _sets(texts)
+    column = {s: k for k, s in enumerate(sorted({int(s) for own, _ in shingles for s in own}))}
+    dense = np.zeros((len(texts), len(column)), np.float32)
+    for k, (own, weight) in enumerate(shingles):
+        dense[k, [column[int(s)] for s in own]] = weight
+    parent = list(range(len(texts)))
+    total = dense.sum(axis=1, dtype=float)
+    for k in range(len(texts)):
+        mine = np.flatnonzero(dense[k])
+        both = np.minimum(dense[:k, mine], dense[k, mine]).sum(axis=1, dtype=float)
+        for other in np.flatnonzero(both >= nd.THRESHOLD * (total[:k] + total[k] - both)):
+            parent[k] = min(parent[k], parent[other])
+    assert 150 < len(texts) - len(set(parent)) <= 260
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    found = {r.first: r.class_id for r in nd.classes(docs).collect()}
+    assert [found[k] for k in range(len(texts))] == parent
+
+
 def test_samples_agree_as_often_as_the_sets_are_alike():
     rng = np.random.default_rng(0)
     shingles = np.sort(rng.integers(0, 2**63, 400).astype(np.uint64))
