@@ -255,10 +255,13 @@ def status_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def long_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of all documents by way of chunks, as one table."""
-    parts = chunks.explode_chunks(_read(spark, sf_dir, "documents").select("doc_id", "text"), chunk=50_000, overlap=2_000)
-    found = detect.detect_spans(parts, ["doc_id", "chunk_start"])
-    return chunks.merge_chunks(found, ["doc_id"], 200).select("doc_id", "type", F.col("start").alias("span_start"), F.col("end").alias("span_end"), F.col("matchString").alias("match_text"))
+    """Spans of all documents by way of chunks, as one table: a document keeps the ruleset's number of spans of a type (500),
+    a chunk of a text of 50,000 characters or more 200 of them."""
+    bundle = rules.load()
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", (F.length("text") >= 50_000).alias("split"))
+    parts = chunks.explode_chunks(docs, chunk=50_000, overlap=2_000)
+    found = [detect.detect_spans(parts.where(of), ["doc_id", "chunk_start"], bundle, limit=limit) for of, limit in (("not split", bundle.limit), ("split", min(200, bundle.limit)))]
+    return chunks.merge_chunks(found[0].unionByName(found[1]), ["doc_id"], bundle.limit).select("doc_id", "type", F.col("start").alias("span_start"), F.col("end").alias("span_end"), F.col("matchString").alias("match_text"))
 
 
 def embed_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

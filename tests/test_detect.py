@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from spanforge.operators import chunks, context, detect, tools
 from spanforge.plans import rules
+from spanforge.queries import contexts
 from spanforge.streaming.detect import detect_stream, write_spans
 
 
@@ -110,6 +111,15 @@ def test_long_texts(spark):
     assert [r[0] for r in fast] == [3, 0, 0, 1]
 
 
+def test_long_text_keeps_as_many_spans_as_the_reference(spark, tmp_path):
+    """Texts that aren't split keep 500 spans of a type, chunks 200, documents of chunks 500."""
+    mails = lambda n, gap: "".join(f"u{k}@b.co\n" + "word " * gap for k in range(n))
+    docs = spark.createDataFrame([(1, mails(300, 0)), (2, mails(600, 0)), (3, mails(300, 1) + "word " * 10_000), (4, mails(1200, 20))], "doc_id int, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = contexts.long_text(spark, str(tmp_path)).where("type = 'EML'").groupBy("doc_id").count()
+    assert dict(map(tuple, found.collect())) == {1: 300, 2: 500, 3: 200, 4: 500}
+
+
 def test_display(spark):
     docs = detect.detect(spark.createDataFrame([("<M12345678> 900101-1234567",)], "text string"), include_invalid=True)
     html = docs.select(tools.highlight(F.col("text"), tools.flatten({k: F.col(k) for k in ("PN", "SN_INVALID")}))).head()[0]
