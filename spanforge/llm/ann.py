@@ -2,11 +2,13 @@
 
 A vector is represented by the order of its nearest pivots. Each block of vectors posts its rows in one inverted file per
 pivot, with the place that the pivot has in the row's order. A query reads the files of its own nearest pivots, which sums
-up the footrule distance of the two orders, takes the best share of the block and ranks it by the true cosine.
+up the footrule distance of the two orders, takes the best share of the block and ranks it by the true cosine. Of the rest it
+ranks every row that the triangle inequality of angles to GUARDS pivots doesn't put farther off than the k-th found, so what
+the share leaves out is no nearer.
 
 Vectors and queries are dealt into blocks by a hash of their id, so equal vectors spread evenly and a task holds two blocks,
-whatever the input. Pivots are the only fitted part: of four times PIVOTS vectors of smallest id hash the first PIVOTS that
-aren't alike, so that a vector with many near copies is one pivot.
+whatever the input. Pivots are the only fitted part: of four times PIVOTS vectors of smallest id hash PIVOTS that lie far
+from each other, however narrow the cone they are in.
 
 Vectors that are null, zero or hold null or non-finite components take no part, nor do those whose length isn't the most
 common one. Ties go to the smaller id; repeated ids are candidates once each. Extra columns are ignored.
@@ -27,6 +29,8 @@ PREFIX = 96
 #: Share of a block, and least number of its rows, that the footrule distance leaves for the true measure.
 SHARE, LEAST = 0.25, 400
 BLOCK = 16_384
+#: Pivots whose angles bound the rows beyond the share, and what the bound is loosened by (radians) against rounding.
+GUARDS, SLACK = 32, 1e-6
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -38,13 +42,17 @@ def _order(unit: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return np.argsort(-(unit @ pivots.T), axis=1, kind="stable")[:, :prefix]
 
 
-def spread(unit: np.ndarray, number: int, alike: float = 0.8) -> np.ndarray:
-    """The first `number` of the vectors that aren't alike: a cosine above `alike` with an earlier one would waste a pivot."""
-    chosen: list[np.ndarray] = []
-    for v in unit:
-        if len(chosen) < number and (not chosen or float(np.max(np.array(chosen) @ v)) < alike):
-            chosen.append(v)
-    return np.array(chosen)
+def _angles(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(unit @ pivots.T, -1, 1))
+
+
+def spread(unit: np.ndarray, number: int) -> np.ndarray:
+    """`number` of the vectors, each the farthest from those before it; fewer only if the others equal one of them."""
+    chosen, near = [0], unit @ unit[0]
+    while len(chosen) < number and near.min() < 1 - 1e-12:
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, unit @ unit[chosen[-1]])
+    return unit[chosen]
 
 
 class PermutationBlock:
@@ -53,14 +61,17 @@ class PermutationBlock:
     def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, prefix: int = PREFIX):
         self.ids, self.x, self.norm = ids, x, np.sqrt((x * x).sum(axis=1))
         self.pivots, self.prefix = pivots, min(prefix, len(pivots))
-        order = _order(_unit(x), pivots, self.prefix)
+        unit = _unit(x)
+        self.angles = _angles(unit, pivots[:GUARDS])
+        order = _order(unit, pivots, self.prefix)
         rows, place = np.divmod(np.arange(order.size), self.prefix)
         by = np.argsort(order.ravel(), kind="stable")
         cut = np.searchsorted(order.ravel()[by], np.arange(len(pivots) + 1))
         self.files = [(rows[by[a:b]], place[by[a:b]]) for a, b in zip(cut, cut[1:], strict=False)]
 
     def search(self, query_id: int, q: np.ndarray, k: int, share: float = SHARE, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and cosines of the k nearest among the best rows by footrule distance, the query's own id aside."""
+        """Ids and cosines of the k nearest, the query's own id aside: first among the best rows by footrule distance, then
+        among those that the bound on angles doesn't rule out."""
         agreed = np.zeros(len(self.ids))  # prefix minus the displacement, summed: the footrule distance from the other end
         for place, pivot in enumerate(_order(_unit(q[None, :]), self.pivots, self.prefix)[0]):
             rows, at = self.files[pivot]
@@ -74,10 +85,20 @@ class PermutationBlock:
         else:
             found = np.arange(len(agreed))
         found = found[self.ids[found] != query_id]
-        cosine = (self.x[found] * q).sum(axis=1) / (self.norm[found] * np.sqrt((q * q).sum()))
+        cosine = self._cosines(found, q)
+        rest = self.ids != query_id
+        rest[found] = False
+        if rest.any():
+            limit = np.arccos(np.clip(np.partition(cosine, len(cosine) - k)[len(cosine) - k], -1, 1)) + SLACK if len(cosine) >= k else np.inf
+            rest &= np.abs(self.angles - _angles(_unit(q[None, :]), self.pivots[:GUARDS])).max(axis=1) <= limit
+            more = np.flatnonzero(rest)
+            found, cosine = np.concatenate([found, more]), np.concatenate([cosine, self._cosines(more, q)])
         top = np.lexsort((self.ids[found], -cosine))[:k]
         return self.ids[found[top]], cosine[top]
 
+    def _cosines(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return (self.x[rows] * q).sum(axis=1) / (self.norm[rows] * np.sqrt((q * q).sum()))
+
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, v): vectors of doubles that take part."""

@@ -38,6 +38,25 @@ def test_recall_and_scores(spark):
             assert abs(score - x[v] @ x[q] / (np.linalg.norm(x[v]) * np.linalg.norm(x[q]))) < 1e-12
 
 
+def test_narrow_cones_and_groups_larger_than_the_share():
+    """A mean cosine of 0.9 leaves all pivots; a group of half of the rows is searched whole."""
+    rng = np.random.default_rng(1)
+    noise = rng.normal(size=(4000, 32))
+    cone = 3 * np.ones(32) + noise
+    for jitter in (None, 1e-3, 1e-4):
+        x = cone.copy() if jitter is None else noise.copy()
+        if jitter is not None:
+            x[rng.permutation(4000)[:2000]] = noise[0] + jitter * rng.normal(size=(2000, 32))
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        pivots = ann.spread(unit[:1024], 256)
+        assert len(pivots) == 256
+        ids, queries = np.arange(4000), list(range(0, 4000, 80))
+        index = ann.PermutationBlock(ids, x, pivots)
+        expected = _brute(ids, x, queries)
+        for q in queries:
+            assert index.search(q, x[q], 5)[0].tolist() == [a for a, _ in expected[q]]
+
+
 def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (50, [0.0, 2.0]), (1, [0.0, 0.0]), (2, None), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [1.0]), (7, [3.0, 3.0]), (None, [1.0, 1.0]), (100, [])]
