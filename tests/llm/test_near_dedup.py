@@ -114,3 +114,36 @@ def test_edges_and_keeping_one(spark):
         for t in texts:
             multi[t] += 1
     assert sorted(multi.values()) == [1, 2]
+
+
+def test_word_hashes_of_any_length():
+    rng = np.random.default_rng(1)
+    words = [bytes(rng.choice(list(b"abc\xc3\xa9"), n)) for n in (1, 2, 5, 30, nd.LONG_WORD, nd.LONG_WORD + 1) for _ in range(6)] + [b"y" * nd.PIECE, b"z" * (2 * nd.PIECE)]
+    for n in (0, 1, 7, 900):
+        chosen = [words[k] for k in rng.integers(0, len(words), n)]
+        text = b"".join([b" ", b"\n", b"\t\r ", b"\x0b"][int(rng.integers(4))] + w for w in chosen)
+        hashes = nd.word_hashes(text)
+        seen = dict(zip(text.split(), hashes.tolist(), strict=True))
+        assert [seen[w] for w in chosen] == hashes.tolist() and len(set(seen.values())) == len(seen)
+
+
+def test_prefixes_miss_no_pair():
+    """Of all pairs as alike as the threshold the lighter set has a slot that the heavier one asks for, or no one needs it."""
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 2**63, 60).astype(np.uint64))
+    sets = []
+    for _ in range(60):
+        own = np.union1d(base[rng.random(len(base)) < rng.uniform(0.6, 1)], rng.integers(0, 2**63, int(rng.integers(0, 12))).astype(np.uint64))
+        sets.append((own, (0.5 + (own % 7)).astype(np.float32)))
+    rarity = np.zeros(1 << 16, np.int32)
+    for own, _ in sets:
+        np.add.at(rarity, (own % np.uint64(1 << 16)).astype(int), 1)
+    found = [nd.slots(*nd.prefix(*x, rarity, 0.8), 0.8) for x in sets]
+    own, asked = [set(s[~a].tolist()) for s, a, *_ in found], [set(s[a].tolist()) for s, a, *_ in found]
+    near = 0
+    for a in range(len(sets)):
+        for b in range(a):
+            if nd.weighted_jaccard(sets[a], sets[b]) >= 0.8:
+                near += 1
+                assert own[a] & asked[b] or own[b] & asked[a]
+    assert near > 20
