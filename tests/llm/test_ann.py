@@ -48,13 +48,12 @@ def test_narrow_cones_and_groups_larger_than_the_share():
         if jitter is not None:
             x[rng.permutation(4000)[:2000]] = noise[0] + jitter * rng.normal(size=(2000, 32))
         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-        pivots = ann.spread(unit[:1024], 256)
-        assert len(pivots) == 256
+        assert len(ann.spread(unit[:1024], 256)) == 256
         ids, queries = np.arange(4000), list(range(0, 4000, 80))
-        index = ann.PermutationBlock(ids, x, pivots)
+        index = ann.PermutationBlock(ids, ann.scaled(x), 256)
         expected = _brute(ids, x, queries)
         for q in queries:
-            assert index.search(q, x[q], 5)[0].tolist() == [a for a, _ in expected[q]]
+            assert index.search(q, ann.scaled(x[q][None, :])[0], 5)[0].tolist() == [a for a, _ in expected[q]]
 
 
 def test_edges(spark):
@@ -62,6 +61,26 @@ def test_edges(spark):
     rows = [(0, [1.0, 0.0]), (50, [0.0, 2.0]), (1, [0.0, 0.0]), (2, None), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [1.0]), (7, [3.0, 3.0]), (None, [1.0, 1.0]), (100, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     found = [(r.query_id, r.rank, r.vec_id) for r in ann.search(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
-    assert found == [(0, 1, 7), (0, 2, 50), (50, 1, 7), (50, 2, 0)]
+    assert found == [(0, 1, 7), (0, 2, 50), (50, 1, 7), (50, 2, 0)]  # 6 has no other vector of its length
     assert ann.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     assert ann.search(df.where("vec_id = 7"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_repeated_rows_lengths_and_magnitudes(spark):
+    rows = [(50, [1.0, 0.0])] * 2 + [(50, [0.0, 1.0]), (1, [2e200, 0.0]), (2, [1e-170, 1e-170]), (2, [1e-170, 1e-170]), (2, [-1.0, 0.0]), (3, [5e-324, 0.0]), (100, [1.0, 1.0, 1.0]), (4, [3.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = [(r.query_id, r.vec_id, round(r.score, 12)) for r in ann.search(df, F.col("vec_id") % 50 == 0, k=3).orderBy("query_id", "score", "rank").collect()]
+    half, third = round(0.5**0.5, 12), round(3**-0.5, 12)
+    one = [(50, 1, 1.0), (50, 3, 1.0), (50, 2, half)]  # of the vector (1, 0)
+    two = [(50, 2, half), (50, 1, 0.0), (50, 2, 0.0)]  # of the vector (0, 1): ties go to the smaller id, the id's other vector is no candidate
+    assert sorted(found) == sorted([*one, *two, (100, 4, third)])
+
+
+def test_the_footrule_stage_alone():
+    """Without the exact check the share that the footrule distance admits holds nine of ten neighbours."""
+    rng = np.random.default_rng(2)
+    x = ann.scaled(rng.normal(size=(12, 32))[rng.integers(0, 12, 6000)] + 0.9 * rng.normal(size=(6000, 32)))
+    index = ann.PermutationBlock(np.arange(6000), x)
+    expected = _brute(np.arange(6000), x, range(0, 6000, 60))
+    hits = sum(len(set(index.search(q, x[q], 5, check=False)[0].tolist()) & {a for a, _ in own}) for q, own in expected.items())
+    assert hits / (5 * len(expected)) >= 0.9
