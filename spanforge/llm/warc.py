@@ -27,6 +27,8 @@ from .common import shared_root, small_batches, staged, table, task_id
 
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 1 << 30
+#: Tasks that read bundles side by side, at most; further bundles share them.
+MOST_READERS = 10_000
 #: Fixed values of the seekable format: skippable-frame magic, footer magic.
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -81,7 +83,11 @@ class BundleWriter:
         self.frames: list[tuple[int, int]] = []
 
     def add(self, data: bytes) -> tuple[int, int]:
-        """(frame, offset in its plain bytes) of the record."""
+        """(frame, offset in its plain bytes) of the record. The seek table's sizes have 32 bits."""
+        if len(data) >> 32:
+            raise ValueError("a record of 4 GiB or more doesn't fit in a frame")
+        if (self.size + len(data)) >> 32:
+            self._flush()
         place = len(self.frames), self.size
         self.pending.append(data)
         self.size += len(data)
@@ -141,11 +147,19 @@ def _store(uri: str):
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, url, payload, refers_to): of equal payloads of at least `min_bytes` that with the largest id stays, others refer to it."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload")).withColumn("digest", F.sha1("payload"))
-    kept = rows.where(F.length("payload") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1").select("digest", "largest")
-    target = F.when((F.length("payload") >= min_bytes) & F.col("largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("largest")), F.col("largest"))
-    return rows.join(kept, "digest", "left").select("page_id", "url", "payload", target.alias("refers_to"))
+    """(page_id, url, payload, refers_to): of equal payloads of at least `min_bytes` that with the largest id stays, others refer to it.
+
+    Groups are found on digests alone, and digest and id together say to which page a reference goes: payloads are not
+    dealt by digest, so pages that share one payload don't meet in one task.
+    """
+    payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
+    digests = rows.select("page_id", "digest").where(F.length("payload") >= min_bytes)
+    kept = digests.groupBy("digest").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1 AND largest IS NOT NULL").select("digest", "largest")
+    # One row per id and digest: repeated rows get the same answer.
+    revisits = digests.distinct().join(kept, "digest").where(~F.col("page_id").eqNullSafe(F.col("largest"))).select(F.col("page_id").alias("own_id"), F.col("digest").alias("own_digest"), F.col("largest").alias("refers_to"))
+    same = F.col("page_id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest"))
+    return rows.join(revisits, same, "left").select("page_id", "url", "payload", "refers_to")
 
 
 INDEX = "page_id long, bundle string, frame long, at long"
@@ -192,8 +206,16 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _KINDS, strict=True)], [x.split()[0] for x in RECORDS.split(", ")])
 
 
+def _dealt(df: DataFrame, number: int, *by: str) -> DataFrame:
+    """`df` over `number` tasks; that many are kept, however small the rows are."""
+    return df.repartition(max(1, number), *by)
+
+
 def read_archives(bundles: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Every record of the bundles in column `bundle`, each payload checked against its digest."""
+    """Every record of the bundles in column `bundle`, each payload checked against its digest; a task reads a few frames at a time.
+
+    A row of `bundles` is read on its own: bundles are dealt over as many tasks as there are, up to MOST_READERS.
+    """
     def read(batches):
         for batch in batches:
             for path in batch.column(0).to_pylist():
@@ -202,26 +224,38 @@ def read_archives(bundles: DataFrame, with_payload: bool = True) -> DataFrame:
                     rows = []
                     for _, _, fields, head, payload in BundleReader(source).records():
                         rows.append(_read(fields, head, payload, with_payload))
-                        if len(rows) == 1024:
+                        if len(rows) == 1024 or (with_payload and len(payload) > FRAME_BYTES):
                             yield _batch(rows)
                             rows = []
                     if rows:
                         yield _batch(rows)
 
-    return bundles.select("bundle").mapInArrow(read, RECORDS)
+    bundles = bundles.select("bundle")
+    return _dealt(bundles, min(MOST_READERS, bundles.count())).mapInArrow(read, RECORDS)
 
 
 def fetch(index: DataFrame) -> DataFrame:
-    """The records that the given rows of an index point at; reads the seek tables and those frames only."""
+    """The records that the given rows of an index point at. Rows are dealt by bundle and sorted by frame, so that a task opens
+    a bundle and its seek table once and reads each frame that is asked for once."""
     def read(batches):
+        held, source, reader, frame, plain = None, None, None, None, b""
         for batch in batches:
-            for path, frame, at in zip(*(batch.column(c).to_pylist() for c in ("bundle", "frame", "at")), strict=True):
-                store, name = _store(path)
-                with store.open_input_file(name) as source:
-                    fields, head, payload, _ = parse(BundleReader(source).frame(frame), at)
+            for path, number, at in zip(*(batch.column(c).to_pylist() for c in ("bundle", "frame", "at")), strict=True):
+                if path != held:
+                    if source is not None:
+                        source.close()
+                    store, name = _store(path)
+                    held, source, frame = path, store.open_input_file(name), None
+                    reader = BundleReader(source)
+                if number != frame:
+                    frame, plain = number, reader.frame(number)
+                fields, head, payload, _ = parse(plain, at)
                 yield _batch([_read(fields, head, payload, True)])
+        if source is not None:
+            source.close()
 
-    return index.select("bundle", "frame", "at").mapInArrow(read, RECORDS)
+    rows = index.select("bundle", "frame", "at")
+    return rows.repartition("bundle").sortWithinPartitions("bundle", "frame", "at").mapInArrow(read, RECORDS)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
