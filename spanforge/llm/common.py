@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """This session's own folder below spark.checkpoint.dir, removed when the driver ends.
 
-    Where the setting is absent (tests, notebooks) a temporary folder is used; that is right in local mode only.
+    Where the setting is absent (tests, notebooks) a temporary folder is used, in local mode only.
     """
     sc = spark.sparkContext
     if sc.applicationId not in _roots:
-        base = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="staging-")
+        base = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir")
+        if not base and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = base or tempfile.mkdtemp(prefix="staging-")
         root = f"{base.rstrip('/')}/staging-{uuid.uuid4().hex}"
         _roots[sc.applicationId] = root
         atexit.register(_remove, spark, root)
@@ -74,6 +80,27 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def give_back() -> None:
+    """Hands memory that this process has freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(run):
+    """A function for mapInArrow that hands back what its task has freed: workers are used again, by stages that need
+    their memory otherwise."""
+    @wraps(run)
+    def own(batches):
+        yield from run(batches)
+        give_back()
+
+    return own
+
+
 def task_id() -> int:
     from pyspark import TaskContext
 

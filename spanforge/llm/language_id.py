@@ -15,13 +15,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fit_sample, small_batches, table, text_bytes
+from .common import lean, small_batches, table, text_bytes
 
-#: At most so many documents are learnt from, so many windows from each, spread over its text.
-FIT_ROWS, FIT_WINDOWS = 4_000, 6
+#: At most so many documents are learnt from, shared evenly among the languages, and so many windows of all of their texts.
+FIT_ROWS, FIT_WINDOWS = 4_000, 24_000
 HIDDEN = 8
 WINDOW, FIT_WINDOW = 96, 48
 #: Windows that are read side by side.
@@ -180,27 +180,40 @@ def train(langs: list[str], windows: np.ndarray, y: np.ndarray, steps: int = 350
     return net
 
 
-def fit(docs: DataFrame, held_out, rows: int = FIT_ROWS, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Network | None:
-    """A network from at most `rows` documents with a language outside `held_out(id)`; null if there are none.
+def fit(docs: DataFrame, held_out, rows: int = FIT_ROWS, windows: int = FIT_WINDOWS, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Network | None:
+    """A network from at most `rows` documents with a language outside `held_out(id)`, as many of each language as there are
+    or as its share allows; null if there are none.
 
-    The driver gets FIT_WINDOWS short windows of each, spread evenly over its text.
+    Their whole texts are cut into windows, of which each language's share, those of smallest hash, goes to the driver;
+    training draws from them. An id with two languages teaches its smaller one.
     """
     def cut(batches):
         for batch in batches:
             ids, langs, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
             for doc, lang, text in zip(ids, langs, text_bytes(batch.column(2)), strict=True):
-                for at in np.unique(np.linspace(0, max(0, len(text) - FIT_WINDOW), FIT_WINDOWS).astype(int)) if text else []:
-                    out.append((doc, lang, text[at : at + FIT_WINDOW].ljust(FIT_WINDOW, b"\0")))
+                for at in range(0, len(text), FIT_WINDOW):
+                    out.append((doc, lang, text[at : at + FIT_WINDOW].ljust(FIT_WINDOW, b"\0"), at))
+                    if len(out) == 50_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                        out = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.binary()), strict=True)], ["fit_id", "lang", "bytes"])
-
-    chosen = fit_sample(docs.select(id_col, F.col(text_col).alias("text")), docs.select(id_col, F.col(lang_col).alias("lang")), "lang", held_out, rows, id_col, "string")
-    seen = chosen.select(F.col("fit_id").cast("long"), "fit_label", "text").mapInArrow(cut, "fit_id long, lang string, bytes binary").orderBy("fit_id", "bytes").limit(rows * FIT_WINDOWS).toPandas()
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    kinds, names = (pa.int64(), pa.string(), pa.binary(), pa.int64()), ["fit_id", "lang", "bytes", "at"]
+    doc, lang = F.col(id_col).cast("long"), F.col(lang_col)
+    known = docs.where(doc.isNotNull() & lang.isNotNull() & ~held_out(F.col(id_col))).groupBy(doc.alias("fit_id")).agg(F.min(lang).alias("fit_lang"))
+    number = max(1, known.select("fit_lang").distinct().count())
+    # The share of a language is a limit within its group, which Spark applies before it deals the rows.
+    first = lambda df, by, order, most: df.withColumn("nth", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("nth") <= most).drop("nth")
+    chosen = first(known, "fit_lang", (F.xxhash64("fit_id"), "fit_id"), max(1, rows // number))
+    texts = docs.select(doc.alias("own_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("own_id") == F.col("fit_id"))
+    seen = texts.select("fit_id", "fit_lang", "text").mapInArrow(cut, "fit_id long, lang string, bytes binary, at long")
+    seen = first(seen, "lang", (F.xxhash64("fit_id", "at"), "fit_id", "at", "bytes"), max(1, windows // number)).orderBy("fit_id", "at", "bytes").toPandas()
     if not len(seen):
         return None
     langs = sorted(seen.lang.unique())
-    windows = np.frombuffer(b"".join(seen.bytes), np.uint8).reshape(-1, FIT_WINDOW)
-    return train(langs, windows, np.searchsorted(langs, seen.lang.to_numpy(str)))
+    found = np.frombuffer(b"".join(seen.bytes), np.uint8).reshape(-1, FIT_WINDOW)
+    return train(langs, found, np.searchsorted(langs, seen.lang.to_numpy(str)))
 
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -208,6 +221,7 @@ SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 def predict(docs: DataFrame, net: Network | None, held_out: Column, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The likeliest language of every whole text and its pooled probability."""
+    @lean
     def run(batches):
         for batch in batches:
             texts = batch.column(2).to_pylist()

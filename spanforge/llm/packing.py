@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged, table, task_id
+from .common import lean, small_batches, staged, table, task_id
 
 CAPACITY = 2048
 #: Words whose ids a task remembers at once.
@@ -153,6 +153,7 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task
 
 def pieces(docs: DataFrame, tokenizer_path: str, separator: int = 0, capacity: int = CAPACITY, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Tokenises and cuts: one row per piece, with the number it has among its task's pieces of equal length."""
+    @lean
     def cut(batches):
         tokenizer, seen, task = word_tokenizer(tokenizer_path), defaultdict(int), task_id()
         end = np.array([separator], "<u4").tobytes()
@@ -181,6 +182,7 @@ def pack(docs: DataFrame, tokenizer_path: str, separator: int = 0, capacity: int
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = by_task.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
 
+    @lean
     def place(batches):
         for batch in batches:
             length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged, table, text_bytes
+from .common import lean, small_batches, staged, table, text_bytes
 
 LENGTH = 100
 GRAM = 32
@@ -39,6 +39,8 @@ GRAM = 32
 HOT, CHUNK = 8_000, 600_000
 #: Bytes that are hashed together, and regions among which a task merges equal ones.
 SLAB, MERGED = 400_000, 400_000
+#: Bytes of regions that are handed over together.
+FETCHED = 1_000_000
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -231,6 +233,7 @@ def _pieces(batches, slab: int, length: int) -> Iterator[tuple[np.ndarray, np.nd
         yield np.frombuffer(b"".join(held), np.uint8), np.cumsum([len(x) for x in held]), whose
 
 
+@lean
 def _hash_regions(batches):
     hasher, kept, count = Hasher(), [], 0
 
@@ -322,15 +325,24 @@ def _keyed(docs: DataFrame, text_col: str, id_col: str, tied: bool) -> DataFrame
     return docs.select(doc.alias("doc_id"), F.coalesce(doc, F.lit(_NULL)).alias("doc"), tie.alias("tie"), text.alias("text"))
 
 
+@lean
 def _fetch(batches):
-    """Bytes of the regions asked for, from (anchor, doc, tie, ats, z)."""
-    unpack = zstandard.ZstdDecompressor()
+    """Bytes of the regions asked for, from (anchor, doc, tie, ats, z), some FETCHED bytes at a time."""
+    def flush(held):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), [*_TYPES, pa.binary()], strict=True)], [*_NAMES, "bytes"])
+
+    unpack, held, size = zstandard.ZstdDecompressor(), [], 0
     for batch in batches:
         for anchors, doc, tie, ats, z in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
             text = unpack.decompress(z)
-            bodies = [text[at >> 8 : (at >> 8) + (at & 255) + LENGTH - 1] for at in ats]
-            contents = [0] * len(ats)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([1] * len(ats), anchors, contents, [doc] * len(ats), [tie] * len(ats), ats, bodies), [*_TYPES, pa.binary()], strict=True)], [*_NAMES, "bytes"])
+            for anchor, at in zip(anchors, ats, strict=True):
+                held.append((1, anchor, 0, doc, tie, at, text[at >> 8 : (at >> 8) + (at & 255) + LENGTH - 1]))
+                size += len(held[-1][6])
+                if size >= FETCHED:
+                    yield flush(held)
+                    held, size = [], 0
+    if held:
+        yield flush(held)
 
 
 def _narrow(cell: int):
@@ -363,6 +375,7 @@ def _anchor_offset(body: bytes) -> int:
     return int(((gram & ~_U(0xFFFFFF)) | np.arange(len(gram), dtype=_U)).argmin())
 
 
+@lean
 def _sort_suffixes(batches):
     """Suffix arrays over the regions of whole anchors, in chunks; rows come sorted by anchor."""
     def solve(rows):

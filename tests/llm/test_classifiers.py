@@ -146,21 +146,27 @@ def test_rules_score_and_verdict_against_brute_force(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     found = {r.doc_id: r for r in quality_rules.op7_quality_rules(spark, SF).collect()}
     good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    left_out = {r.doc_id for r in labels.where("quality = 1").where(F.pmod(F.xxhash64("doc_id"), F.lit(quality_rules.CALIBRATION)) == 0).collect()}
+    assert 0.15 < len(left_out) / len(good) < 0.35
     raw, trusted = np.zeros(quality_rules.BUCKETS, int), np.zeros(quality_rules.BUCKETS, int)
     own = {}
     for r in docs.collect():
         own[r.doc_id] = quality_rules.measure((r.text or "").encode())
         np.add.at(raw, own[r.doc_id][1], 1)
-        if r.doc_id in good:
+        if r.doc_id in good - left_out:
             np.add.at(trusted, own[r.doc_id][1], 1)
     ratio = np.log(trusted + quality_rules.PSEUDO) - np.log(raw * trusted.sum() / raw.sum() + quality_rules.PSEUDO)
+    passed = lambda base: base[0] >= 50 and 100 * base[4] <= 50 * base[0]
+    calm = np.sort([np.floor(round(ratio[at].mean(), 9) / 1e-4) * 1e-4 for doc, (base, at) in own.items() if doc in left_out and passed(base)])
+    median, high = (calm[int(np.ceil(share * len(calm))) - 1] for share in (0.5, 0.9))
+    threshold = median - quality_rules.SPREADS * (high - median)
     assert len(found) == 1000
     for doc, (base, at) in own.items():
         r = found[doc]
         score = ratio[at].mean() if len(at) else 0.0
         failed = base[0] < 50 or 100 * base[4] > 50 * base[0]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (*base, failed)
-        assert abs(r.score - score) < 1e-8 and r.kept == (not failed and round(score, 9) >= quality_rules.THRESHOLD)
+        assert abs(r.score - score) < 1e-8 and r.kept == (not failed and round(score, 9) >= threshold - 1e-12)
     marked = labels.toPandas().set_index("doc_id").quality
     assert np.mean([found[d].kept for d in marked[marked == 1].index if not found[d].base_failed]) >= 0.95
     assert not any(found[d].kept for d in marked[marked == 0].index)
@@ -169,11 +175,24 @@ def test_rules_score_and_verdict_against_brute_force(spark):
 def test_rules_edges(spark, odd):
     labels = spark.createDataFrame([(1, 1), (None, 1), (4, None)], "doc_id long, quality int")
     for docs, rows in ((odd, 8), (odd.limit(0), 0)):
-        ratio = quality_rules.log_ratio(quality_rules.counts(quality_rules.trusted_flag(docs, labels)))
-        assert quality_rules.judge(docs, ratio).count() == rows
+        marked = quality_rules.marked_good(docs, labels)
+        ratio = quality_rules.log_ratio(quality_rules.counts(marked))
+        assert quality_rules.judge(docs, ratio, quality_rules.calibrated(marked.where("left_out"), ratio)).count() == rows
+    assert quality_rules.lower_bound(np.zeros(quality_rules.BINS, int)) == -np.inf
+    assert quality_rules.buckets_for(0) == quality_rules.BUCKETS and quality_rules.buckets_for(10**9) == quality_rules.MOST_BUCKETS and quality_rules.buckets_for(70_000) == 1 << 17
     assert quality_rules.log_ratio(np.array([[3, 1], [0, 0]])).tolist() == [0, 0]
 
 
+def test_a_rare_language_is_learnt(spark):
+    """One document in a thousand, beyond the even share of the others."""
+    rows = [(k, "the cat and the dog sat on the warm mat by the fire " * 3, "en") for k in range(1500)] + [(k + 2000, "żółw łąka jeść pięść źdźbło gęś " * 4, "pl") for k in range(2)] + [(None, "x y z", "de"), (9, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    net = language_id.fit(docs, lambda c: F.lit(False), rows=40, windows=400)
+    assert net.langs == ["en", "pl"]
+    found = {r.lang_pred for r in language_id.predict(docs.where("lang = 'pl'"), net, F.lit(False)).collect()}
+    assert found == {"pl"}
+
+
 def test_tree_sum(spark):
     parts = spark.createDataFrame([(np.array([k, 1]).tobytes(),) for k in range(50)], "part binary").repartition(20)
     assert tree_sum(parts).tolist() == [1225, 50] and tree_sum(parts.limit(0)) is None
