@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .spans import let
+
 #: Digit words and the digits they stand for, in the same order.
 DIGIT_WORDS, DIGITS = "공영일이삼사오육륙칠팔구", "001234566789"
 #: Weights of the twelve digits before a resident number's check digit.
@@ -41,17 +43,21 @@ def _digit(s: Column, k: int) -> Column:
 
 def rrn_checksum(s: Column) -> Column:
     """Whether a resident number's thirteenth digit is its check digit."""
-    d = _digits(s)
-    total = sum((_digit(d, k + 1) * w for k, w in enumerate(RRN_WEIGHTS)), F.lit(0))
-    return (F.length(d) == 13) & F.coalesce((11 - total % 11) % 10 == _digit(d, 13), F.lit(False))
+    def holds(d: Column) -> Column:
+        total = sum((_digit(d, k + 1) * w for k, w in enumerate(RRN_WEIGHTS)), F.lit(0))
+        return (F.length(d) == 13) & F.coalesce((11 - total % 11) % 10 == _digit(d, 13), F.lit(False))
+
+    return let(_digits(s), holds)
 
 
 def rrn_structure(s: Column) -> Column:
     """Whether a resident number has a valid birth date; its seventh digit tells the century."""
-    d = _digits(s)
-    century = F.when(F.substring(d, 7, 1).isin("1", "2", "5", "6"), "19").otherwise("20")
-    date = F.try_to_date(F.concat(century, F.substring(d, 1, 6)), "yyyyMMdd")
-    return (F.length(d) == 13) & F.substring(d, 7, 1).between("1", "8") & date.isNotNull()
+    def holds(d: Column) -> Column:
+        century = F.when(F.substring(d, 7, 1).isin("1", "2", "5", "6"), "19").otherwise("20")
+        date = F.try_to_date(F.concat(century, F.substring(d, 1, 6)), "yyyyMMdd")
+        return (F.length(d) == 13) & F.substring(d, 7, 1).between("1", "8") & date.isNotNull()
+
+    return let(_digits(s), holds)
 
 
 def ssn_structure(s: Column) -> Column:

@@ -28,24 +28,35 @@ def span(start: Column, end: Column, match: Column) -> Column:
     return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), match.alias("matchString"))
 
 
+def running(items: Column, length=lambda x: x, block: int = 64) -> Column:
+    """The sum of `length` over all items before each one. Sums run within blocks first and then over blocks, so that
+    appending to an array copies a block and not the whole array."""
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
+    add = lambda s, x: F.struct((s["at"] + length(x)).alias("at"), F.array_append(s["found"], s["at"]).alias("found"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / block).cast("int")), lambda k: F.aggregate(F.slice(items, k * block + 1, F.lit(block)), begin, add))
+    outer = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("found"))
+    moved = lambda s, b: F.struct((s["at"] + b["at"]).alias("at"), F.array_append(s["found"], F.transform(b["found"], lambda x: x + s["at"])).alias("found"))
+    return F.when(F.size(items) > 0, F.flatten(F.aggregate(blocks, outer, moved)["found"])).otherwise(F.array().cast("array<int>"))
+
+
 def scan(text: Column, pattern: str, max_len: int | None = None, limit: int | None = None, needs: str | None = None) -> Column:
     """All matches of a Java regex from left to right, each from the end of the one before.
 
     Matches longer than `max_len` are dropped, then the first `limit` stay. `needs` is a literal or a
     cheap regex without which no text can match: it spares most texts the costly pattern. Texts that don't match are not folded. Null text: no spans.
+    Each match is taken from its own part of the text, so the time grows with the text's length.
     """
     plain = F.translate(text, _OPEN + _CLOSE, "\u0003\u0004")  # sentinels of the same length
+    marked = F.struct(F.split(F.regexp_replace(plain, pattern, f"{_OPEN}$0{_CLOSE}"), _OPEN).alias("parts"), text.rlike(f"[{_OPEN}{_CLOSE}]").alias("odd"))
 
-    def step(state: Column, part: Column) -> Column:
-        size = F.length(F.substring_index(part, _CLOSE, 1))
-        own = span(state["at"], state["at"] + size, text.substr(state["at"] + 1, size))
-        return F.struct((state["at"] + F.length(part) - 1).alias("at"), F.array_append(state["found"], own).alias("found"))
-
-    def fold(parts: Column) -> Column:
-        begin = F.struct(F.length(F.element_at(parts, 1)).alias("at"), no_spans().alias("found"))
-        return F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), begin, step)["found"]
+    def fold(x: Column) -> Column:
+        rest = F.greatest(F.size(x["parts"]) - 1, F.lit(0))
+        match = lambda part: F.substring_index(part, _CLOSE, 1)
+        # All parts but the first hold a sentinel, and each counts as if it did: starts are one too small.
+        own = lambda part, at: span(at + 1, at + 1 + F.length(match(part)), F.when(x["odd"], text.substr(at + 2, F.length(match(part)))).otherwise(match(part)))
+        return F.zip_with(F.slice(x["parts"], F.lit(2), rest), F.slice(running(x["parts"], lambda part: F.length(part) - 1), F.lit(2), rest), own)
 
-    found = let(F.split(F.regexp_replace(plain, pattern, f"{_OPEN}$0{_CLOSE}"), _OPEN), fold)
+    found = let(marked, fold)
     if max_len is not None:
         found = F.filter(found, lambda x: x["end"] - x["start"] <= max_len)
     if limit is not None:
@@ -56,6 +67,20 @@ def scan(text: Column, pattern: str, max_len: int | None = None, limit: int | No
     return F.when(matches, found).otherwise(no_spans())
 
 
+def scan_line(marked: Column) -> Column:
+    """The cells of a short text, given with a sentinel before and one behind each of them; what a cell holds is trimmed."""
+    begin = F.struct(F.lit(0).alias("at"), no_spans().alias("found"))
+    size = lambda part: F.length(F.substring_index(part, _CLOSE, 1))
+    own = lambda s, part: span(s["at"], s["at"] + size(part), F.trim(F.substring_index(part, _CLOSE, 1)))
+    step = lambda s, part: F.when(part.contains(_CLOSE), F.struct((s["at"] + F.length(part) - 1).alias("at"), F.array_append(s["found"], own(s, part)).alias("found"))).otherwise(F.struct((s["at"] + F.length(part)).alias("at"), s["found"].alias("found")))
+    return F.aggregate(F.split(marked, _OPEN), begin, step)["found"]
+
+
+def mark(text: Column, pattern: str) -> Column:
+    """`text` with a sentinel before and behind each match."""
+    return F.regexp_replace(F.translate(text, _OPEN + _CLOSE, "\u0003\u0004"), pattern, f"{_OPEN}$0{_CLOSE}")
+
+
 def scan_longest(text: Column, patterns: list[str], union: str, max_len: int | None = None, limit: int | None = None, needs: str | None = None) -> Column:
     """Like `scan`, but of the patterns that match at the leftmost start the longest match counts. For patterns that don't
     look behind: each round reads the text from the end of the match before. `union`: all patterns as one."""
@@ -171,18 +196,19 @@ def sentences(text: Column) -> Column:
 
 
 def context_bounds(sentence_spans: Column, start: Column, end: Column, around: Column | int) -> Column:
-    """struct<start, end> of the `around` sentences before that of `start` to as many after that of `end`."""
+    """struct<start, end> of the `around` sentences before that of `start` to as many after that of `end`.
+
+    Sentences ascend and don't overlap, so a place among them is a count of those before.
+    """
     n = F.size(sentence_spans)
-    places = F.sequence(F.lit(1), n)
     at = lambda k: F.element_at(sentence_spans, k)
-    i = F.coalesce(
-        F.try_element_at(F.filter(places, lambda k: (at(k)["start"] <= start) & (start < at(k)["end"])), F.lit(1)),
-        F.try_element_at(F.filter(places, lambda k: start < at(k)["end"]), F.lit(1)), F.lit(1))
-    j = F.coalesce(
-        F.try_element_at(F.filter(places, lambda k: (at(k)["start"] <= end) & (end <= at(k)["end"])), F.lit(1)),
-        F.try_element_at(F.filter(places, lambda k: end >= at(k)["start"]), F.lit(-1)), n)
+    i = F.size(F.filter(sentence_spans, lambda s: s["end"] <= start)) + 1
+    j = F.size(F.filter(sentence_spans, lambda s: s["end"] < end)) + 1
+    begun = F.size(F.filter(sentence_spans, lambda s: s["start"] <= end))
+    i = F.when(i <= n, i).otherwise(1)
+    j = F.when(j <= begun, j).when(begun > 0, begun).otherwise(n)
     low, high = F.greatest(F.lit(1), i - around), F.least(n, j + around)
-    bounds = let(F.struct(low.cast("int").alias("l"), high.cast("int").alias("h")), lambda k: F.struct(at(k["l"])["start"].alias("start"), at(k["h"])["end"].alias("end")))
+    bounds = F.struct(at(low.cast("int"))["start"].alias("start"), at(high.cast("int"))["end"].alias("end"))
     return F.when(n > 0, bounds).otherwise(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end")))
 
 

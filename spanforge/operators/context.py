@@ -1,7 +1,7 @@
 """Context filter: scores every span of the target types by what stands around it and keeps or rejects it.
 
-Spans become rows, so that each measure is a plain expression and repeats are window functions over (document, type); no
-text goes through a shuffle: all that is read from it is computed before. Decisions in order: enough equal values, a phrase
+What a span needs of the text is cut out within the document's row; then spans become rows, so that each measure is a plain
+expression and repeats are window functions over (document, type). No text goes through a shuffle. Decisions in order: enough equal values, a phrase
 that forces acceptance, phrases plus bonuses, phrases plus bonuses plus labels, column headers and digits.
 """
 
@@ -43,70 +43,67 @@ def label_pattern(labels: list[str]) -> str | None:
     return "(?U)" + "|".join(f"(?:{x})" for x in labels) if labels else None
 
 
-def cells(line: Column) -> Column:
-    """The cells of a row with their place in it: between tabs, else between gaps of two blanks, else single words."""
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{CELL}>").alias("found"))
-    step = lambda s, p: F.struct((s["at"] + F.length(p) + 1).alias("at"), F.array_append(s["found"], spans.span(s["at"], s["at"] + F.length(p), F.trim(p))).alias("found"))
-    tabbed = F.aggregate(F.split(line, "\t"), begin, step)["found"]
-    gaps = spans.scan(line, r"(?U)\S(?:.*?\S)?(?=\s{2,}|$)")
-    words = spans.scan(line, r"(?U)\S+")
-    return F.when(line.contains("\t"), tabbed).otherwise(spans.let(gaps, lambda g: F.when(F.size(g) >= 2, g).otherwise(words)))
-
-
-def lines_above(text: Column, start: Column, most: int, distance: int) -> Column:
-    """Lines over the one that holds `start`, nearest first: `most` at most, none that ends more than `distance` characters above."""
-    begin = F.struct(F.lit(1).alias("away"), F.array().cast("array<string>").alias("kept"))
-    step = lambda s, x: F.struct((s["away"] + F.length(x) + 1).alias("away"), F.when(s["away"] <= distance, F.array_append(s["kept"], x)).otherwise(s["kept"]).alias("kept"))
-
-    def above(line_start: Column) -> Column:
-        lines = F.slice(F.reverse(F.split(text.substr(F.lit(1), line_start - 1), "\n")), 1, most)
-        return F.when(line_start > 0, F.aggregate(lines, begin, step)["kept"]).otherwise(F.array().cast("array<string>"))
+#: A cell between tabs, between gaps of two blanks, or a single word.
+_TABBED, _GAPPED, _WORD = r"(?:^|(?<=\t))[^\t]*", r"(?U)\S(?:.*?\S)?(?=\s{2,}|$)", r"(?U)\S+"
 
-    return spans.let(scalar.line_start(text, start), above)
 
+def cells(line: Column) -> Column:
+    """The cells of a row with their place in it: between tabs, else between gaps of two blanks, else single words."""
+    gapped = F.regexp_count(line, F.lit(_GAPPED)) >= 2
+    return spans.scan_line(F.when(line.contains("\t"), spans.mark(line, _TABBED)).when(gapped, spans.mark(line, _GAPPED)).otherwise(spans.mark(line, _WORD)))
 
-def _nearest(found: Column, position: Column) -> Column:
-    """The first of the cells whose start is least far from a position."""
-    away = F.transform(found, lambda c: F.abs(c["start"] - position))
-    return spans.let(away, lambda d: F.try_element_at(found, F.array_position(d, F.array_min(d)).cast("int")))
 
+def with_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """`docs` with the text's lines and where each begins (lines, line_starts)."""
+    docs = docs.withColumn("lines", F.split(text_col, "\n"))
+    return docs.withColumn("line_starts", spans.running(F.col("lines"), lambda x: F.length(x) + 1))
 
-def column_header(line: Column, position: Column, above: Column) -> Column:
-    """The header of the column at `position` of a row `line`: the nearest line above whose cell at the same place, or else
-    whose header-like cell at the least distance, looks like one. Empty for rows of fewer than two cells."""
-    def place(row: Column) -> Column:
-        inside = F.filter(F.sequence(F.lit(1), F.size(row)), lambda k: (F.element_at(row, k)["start"] <= position) & (position <= F.element_at(row, k)["end"]))
-        away = spans.let(F.transform(row, lambda c: F.abs(c["start"] - position)), lambda d: F.array_position(d, F.array_min(d)))
-        return F.when(F.size(row) >= 2, F.coalesce(F.try_element_at(inside, F.lit(1)).cast("int"), away.cast("int")))
 
-    def candidate(own: Column, index: Column) -> Column:
-        headers = F.filter(own, lambda c: scalar.looks_like_header(c["matchString"]))
-        same = F.coalesce(F.try_element_at(own, index)["matchString"], F.lit(""))
-        nearest = F.coalesce(spans.let(headers, lambda h: _nearest(h, position))["matchString"], F.lit(""))
-        return spans.let(same, lambda x: F.when(scalar.looks_like_header(x), x).otherwise(nearest))
+def line_of(start: Column) -> Column:
+    """The number of the line, from 0, that holds a position of a text `with_lines`."""
+    return F.size(F.filter(F.col("line_starts"), lambda p: p <= start)) - 1
 
-    def search(index: Column) -> Column:
-        found = F.filter(F.transform(above, lambda x: spans.let(cells(x), lambda own: candidate(own, index))), lambda c: c != "")
-        return F.when(index.isNotNull(), F.coalesce(F.try_element_at(found, F.lit(1)), F.lit(""))).otherwise("")
 
-    return spans.let(spans.let(cells(line), place), search)
+def lines_above(line: Column, most: int = 64, distance: int = 8000) -> Column:
+    """Lines over a line of a text `with_lines`, nearest first: `most` at most, none that ends more than `distance` characters above."""
+    begin = F.element_at("line_starts", line + 1)
+    near = F.size(F.filter(F.slice(F.col("line_starts"), F.greatest(F.lit(2), line + 2 - most), F.least(line, F.lit(most))), lambda p: begin - p < distance))
+    return F.reverse(F.slice(F.col("lines"), line + 1 - near, near))
 
 
-def line_header(above: Column, labels: Column) -> Column:
+def line_header(above: Column, above_cells: Column, labels: Column) -> Column:
     """The nearest line above with two header-like cells that a label matches."""
-    good = F.filter(above, lambda x: F.regexp_like(x, labels) & (F.size(F.filter(cells(x), lambda c: scalar.looks_like_header(c["matchString"]))) >= 2))
-    return F.coalesce(F.trim(spans.let(good, lambda g: F.try_element_at(g, F.lit(1)))), F.lit(""))
+    headers = lambda k: F.size(F.filter(F.element_at(above_cells, k), lambda c: scalar.looks_like_header(c["matchString"]))) >= 2
+    good = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(above))), lambda k: (F.size(above) > 0) & F.regexp_like(F.element_at(above, k), labels) & headers(k))
+    return F.coalesce(F.trim(F.try_element_at(above, F.try_element_at(good, F.lit(1)))), F.lit(""))
 
 
-def header_hint(text: Column, start: Column, labels: Column | None, most: int = 64, distance: int = 8000, whole_line: bool = True) -> Column:
-    """The column's header; a whole header line instead, where the column's is empty or matches no label."""
-    def hint(above: Column) -> Column:
-        own = column_header(scalar.line_at(text, start), start - scalar.line_start(text, start), above)
-        if not whole_line or labels is None:
-            return own
-        return spans.let(own, lambda o: F.when(F.regexp_like(o, labels) & (o != ""), o).otherwise(spans.let(line_header(above, labels), lambda h: F.when(h != "", h).otherwise(o))))
+def with_header(rows: DataFrame, labels: Column | None, whole_line: bool = True) -> DataFrame:
+    """Rows (line_text, line_place, above) with `header_hint`, the header of the column at `line_place`: the nearest line above
+    whose cell at the same place, or else whose header-like cell at the least distance, looks like one; empty for rows of
+    fewer than two cells. A whole header line instead, where the column's is empty or matches no label.
 
-    return spans.let(lines_above(text, start, most, distance), hint)
+    Each step is a column of its own: nested functions of functions cost far more to plan than to run.
+    """
+    place = F.col("line_place")
+    rows = rows.withColumns({"own_cells": cells(F.col("line_text")), "above_cells": F.transform("above", cells)})
+    inside = F.filter(F.sequence(F.lit(1), F.size("own_cells")), lambda k: (F.element_at("own_cells", k)["start"] <= place) & (place <= F.element_at("own_cells", k)["end"]))
+    rows = rows.withColumns({"inside": F.try_element_at(inside, F.lit(1)), "away": F.transform("own_cells", lambda c: F.abs(c["start"] - place))})
+    nearest = F.array_position("away", F.array_min("away"))
+    rows = rows.withColumn("cell", F.when(F.size("own_cells") >= 2, F.coalesce("inside", nearest.cast("int"))))
+
+    def candidate(own: Column) -> Column:
+        same = F.coalesce(F.try_element_at(own, F.col("cell"))["matchString"], F.lit(""))
+        headers = F.transform(F.filter(own, lambda c: scalar.looks_like_header(c["matchString"])), lambda c: F.struct(F.abs(c["start"] - place).alias("away"), c["start"].alias("start"), c["matchString"].alias("text")))
+        return F.when(scalar.looks_like_header(same), same).otherwise(F.coalesce(F.array_min(headers)["text"], F.lit("")))
+
+    rows = rows.withColumn("candidates", F.filter(F.transform("above_cells", candidate), lambda c: c != ""))
+    rows = rows.withColumn("header_hint", F.when(F.col("cell").isNotNull(), F.coalesce(F.try_element_at("candidates", F.lit(1)), F.lit(""))).otherwise(""))
+    if whole_line and labels is not None:
+        hint = F.col("header_hint")
+        rows = rows.withColumn("line_hint", F.when((hint != "") & F.regexp_like(hint, labels), "").otherwise(line_header(F.col("above"), F.col("above_cells"), labels)))
+        rows = rows.withColumn("header_hint", F.when(F.col("line_hint") != "", F.col("line_hint")).otherwise(hint)).drop("line_hint")
+    return rows.drop("own_cells", "above_cells", "inside", "away", "cell", "candidates")
 
 
 def label_window(text: Column, start: Column, end: Column, width: Column | int) -> Column:
@@ -114,12 +111,11 @@ def label_window(text: Column, start: Column, end: Column, width: Column | int)
     return text.substr(first + 1, F.least(F.length(text), end + width) - first)
 
 
-def rule_score(text: Column, start: Column, end: Column, match: Column, hint: Column, labels: Column, option: Callable[[str, object], Column]) -> Column:
-    """Weights of a label near the span, of a label in the header, and of a value that is mostly digits, in this order."""
+def rule_score(near: Column, match: Column, hint: Column, labels: Column, option: Callable[[str, object], Column]) -> Column:
+    """Weights of a label near the span (in its `label_window`), of a label in the header, and of a value that is mostly digits, in this order."""
     weight, header, digits = option("label_weight", 0.3), option("table_header_weight", 0.0), option("digit_weight", 0.2)
-    near = F.regexp_like(label_window(text, start, end, option("label_window", 12)), labels)
     above = (hint != "") & F.regexp_like(hint, labels)
-    score = F.when(near, weight).otherwise(0.0) + F.when(above, F.when(header > 0, header).otherwise(weight)).otherwise(0.0)
+    score = F.when(F.regexp_like(near, labels), weight).otherwise(0.0) + F.when(above, F.when(header > 0, header).otherwise(weight)).otherwise(0.0)
     return score + F.when(scalar.digit_ratio(match) >= option("digit_min_ratio", 0.6), digits).otherwise(0.0)
 
 
@@ -144,11 +140,12 @@ def with_repeats(rows: DataFrame, partition: list[str], hybrid: Callable[[str, o
     ordered = by_sig.orderBy("line", "start")
     rows = rows.withColumns({
         "value_count": F.when(F.col("value") != "", F.count("*").over(Window.partitionBy(*partition, "value"))).otherwise(0),
-        "unique_count": F.size(F.collect_set(F.when(F.col("value") != "", F.col("value"))).over(own)),
+        "first_of_value": (F.col("value") != "") & (F.row_number().over(Window.partitionBy(*partition, "value").orderBy("line", "start")) == 1),
         "repeat_count": F.count("*").over(own),
         "sig_count": F.count("sig").over(by_sig), "eligible": F.count("sig").over(own),
         "island": F.sum(F.when(F.col("line") == F.lag("line").over(ordered) + 1, 0).otherwise(1)).over(ordered.rowsBetween(Window.unboundedPreceding, 0)),
     })
+    rows = rows.withColumn("unique_count", F.count_if("first_of_value").over(own).cast("int")).drop("first_of_value")
     run = F.count("*").over(Window.partitionBy(*partition, "sig", "island"))
     ratio = F.col("sig_count") / F.nullif("eligible", F.lit(0))
     consecutive, structure = hybrid("repeat_boost_require_consecutive", False), hybrid("repeat_boost_require_structure", False)
@@ -159,11 +156,12 @@ def with_repeats(rows: DataFrame, partition: list[str], hybrid: Callable[[str, o
     return rows.withColumns({"repeat_bonus": F.when(on, hybrid("repeat_boost_weight", 0.0)).otherwise(0.0), "repeat_ratio": F.when(on, ratio).otherwise(0.0)}).drop("sig", "sig_count", "eligible", "island")
 
 
-def by_type(keys: list[str], of: Callable[[str], Column]) -> Column:
-    """An expression for each type, chosen by the column `type`."""
-    out = F.when(F.col("type") == keys[0], of(keys[0]))
+def by_type(keys: list[str], of: Callable[[str], Column], kind: Column | None = None) -> Column:
+    """An expression for each type, chosen by `kind`, the column `type` unless given."""
+    kind = F.col("type") if kind is None else kind
+    out = F.when(kind == keys[0], of(keys[0]))
     for k in keys[1:]:
-        out = out.when(F.col("type") == k, of(k))
+        out = out.when(kind == k, of(k))
     return out
 
 
@@ -201,41 +199,59 @@ def explain_context(df: DataFrame, id_cols: list[str], ruleset: str | Bundle = "
     options = {k: settings(context, k) for k in keys}
     embed = method == "embed" and embedder is not None and not force_keyword
     # Settings of the row's type are literals; each measure is one expression over them, whatever the number of types.
-    own = lambda of: by_type(keys, lambda k: F.lit(of(options[k])))
+    own = lambda of, kind=None: by_type(keys, lambda k: F.lit(of(options[k])), kind)
     words = lambda name: by_type(keys, lambda k: F.array(*map(F.lit, options[k][name])).cast("array<string>"))
-    hybrid = lambda name, default: own(lambda o: float(o["hybrid"].get(name, default)) if isinstance(default, float) else o["hybrid"].get(name, default))
+    setting = lambda o, name, default: float(o["hybrid"].get(name, default)) if isinstance(default, float) else o["hybrid"].get(name, default)
+    hybrid = lambda name, default: own(lambda o: setting(o, name, default))
     labels = own(lambda o: label_pattern(o["labels"]) or "(?!)")
+    most, distance = (int((context.get("hybrid") or {}).get(n, d)) for n, d in (("table_header_max_lines", 64), ("table_header_max_distance_chars", 8000)))
 
     found = F.concat(*[typed(F.col(f"{prefix}{k}"), k) for k in keys])
     rows = df.select(*id_cols, F.coalesce(F.col(text_col), F.lit("")).alias("text"), found.alias("found")).where(F.size("found") > 0)
-    rows = rows.withColumn("sentences", spans.sentences(F.col("text"))).select(*id_cols, "text", "sentences", F.inline("found"))
-    text, start, end, match = F.col("text"), F.col("start"), F.col("end"), F.col("matchString")
-    rows = rows.withColumn("bounds", spans.context_bounds(F.col("sentences"), start, end, own(lambda o: o["around"]))).drop("sentences")
-    rows = rows.withColumn("snippet", text.substr(F.col("bounds")["start"] + 1, F.col("bounds")["end"] - F.col("bounds")["start"]))
-    snippet = F.col("snippet")
-    rows = rows.withColumns({"value": scalar.fold_case(F.trim(match)), "line_text": scalar.line_at(text, start), "line": scalar.line_index(text, start)})
-    rows = rows.withColumns({"tokens": scalar.token_count(F.col("line_text")), "signature": scalar.row_signature(F.col("line_text"))})
-    held = lambda where, phrases: F.filter(phrases, lambda p: F.contains(F.lower(where), F.lower(p)))
+    text = F.col("text")
+    rows = with_lines(rows.withColumn("sentences", F.transform(spans.sentences(text), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))))
+    forced = {k: o["force"] for k, o in options.items() if o["force"] and o["force_scope"] == "text"}
+    rows = rows.withColumns({f"forced_{k}": scalar.first_phrase(text, phrases) for k, phrases in forced.items()}) if forced else rows
+
+    # What a span needs of the text is cut out within the document's row, so that neither text nor lines are copied per span.
+    def placed(x: Column) -> Column:
+        bounds = spans.context_bounds(F.col("sentences"), x["start"], x["end"], own(lambda o: o["around"], x["type"]))
+        return F.struct(x["type"].alias("type"), x["start"].alias("start"), x["end"].alias("end"), x["matchString"].alias("matchString"), line_of(x["start"]).alias("line"), bounds.alias("bounds"))
+
+    def surrounded(x: Column) -> Column:
+        width = own(lambda o: setting(o, "label_window", 12), x["type"])
+        return F.struct(
+            *[x[c].alias(c) for c in ("type", "start", "end", "matchString", "line", "bounds")],
+            text.substr(x["bounds"]["start"] + 1, x["bounds"]["end"] - x["bounds"]["start"]).alias("snippet"),
+            F.element_at("lines", x["line"] + 1).alias("line_text"), (x["start"] - F.element_at("line_starts", x["line"] + 1)).alias("line_place"),
+            lines_above(x["line"], most, distance).alias("above"), label_window(text, x["start"], x["end"], width).alias("near"),
+        )
+
+    rows = rows.withColumn("found", F.transform("found", placed)).withColumn("found", F.transform("found", surrounded))
+    rows = rows.select(*id_cols, *[f"forced_{k}" for k in forced], F.inline("found"))
+    start, end, match, snippet = F.col("start"), F.col("end"), F.col("matchString"), F.col("snippet")
+    rows = rows.withColumns({"value": scalar.fold_case(F.trim(match)), "lower_snippet": F.lower(snippet), "tokens": scalar.token_count(F.col("line_text")), "signature": scalar.row_signature(F.col("line_text"))})
+    held = lambda phrases: F.filter(phrases, lambda p: F.contains(F.col("lower_snippet"), F.lower(p)))
     if embed:
         rows = rows.withColumn("clipped", spans.clip_around(snippet, F.col("bounds")["start"], start, end, own(lambda o: o["max_chars"])))
         rows = embedding_scores(rows, keys, options, embedder).where(F.col("embedding_score").isNotNull()).drop("clipped")
         rows = rows.withColumns({"context_score": F.col("embedding_score"), "context_score_norm": scalar.embedding_norm(F.col("embedding_score"))}).drop("embedding_score")
     else:
-        rows = rows.withColumn("context_score", (F.size(held(snippet, words("indicators"))) - F.size(held(snippet, words("others")))).cast("double"))
+        rows = rows.withColumn("context_score", (F.size(held(words("indicators"))) - F.size(held(words("others")))).cast("double"))
         number = own(lambda o: len(o["indicators"]))
         rows = rows.withColumn("context_score_norm", F.when(number > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("context_score") / F.nullif(number, F.lit(0))))).otherwise(0.0))
-    scope = F.when(own(lambda o: o["force_scope"] == "text"), text).otherwise(snippet)
-    most, distance = (int((context.get("hybrid") or {}).get(n, d)) for n, d in (("table_header_max_lines", 64), ("table_header_max_distance_chars", 8000)))
-    hint = header_hint(text, start, labels, most, distance, bool((context.get("hybrid") or {}).get("table_header_line_fallback", True)))
+    rows = with_header(rows, labels, bool((context.get("hybrid") or {}).get("table_header_line_fallback", True)))
+    in_snippet = F.coalesce(F.try_element_at(held(words("force")), F.lit(1)), F.lit(""))
+    force = by_type(keys, lambda k: F.col(f"forced_{k}") if k in forced else in_snippet) if forced else in_snippet
     known = banks or options.get("BN", {}).get("banks", [])
     weight = bundle.types["BN"].options.get("bank_pattern_weight", 0.25) if "BN" in bundle.types else 0.25
     rows = rows.withColumns({
-        "force_phrase": F.coalesce(F.try_element_at(held(scope, words("force")), F.lit(1)), F.lit("")),
+        "force_phrase": force,
         "bank": F.when(F.col("type") == "BN", bank_bonus(snippet, match, known, weight)).otherwise(0.0),
-        "header_hint": F.when(hybrid("table_header_enabled", True), hint).otherwise(""),
+        "header_hint": F.when(hybrid("table_header_enabled", True), F.col("header_hint")).otherwise(""),
     })
-    rows = rows.withColumn("rule", rule_score(text, start, end, match, F.col("header_hint"), labels, hybrid))
-    rows = rows.drop("text", "line_text", "bounds")
+    rows = rows.withColumn("rule", rule_score(F.col("near"), match, F.col("header_hint"), labels, hybrid))
+    rows = rows.drop("near", "above", "line_text", "line_place", "bounds", "lower_snippet", *[f"forced_{k}" for k in forced])
     rows = with_repeats(rows, [*id_cols, "type"], hybrid)
     base = F.col("context_score_norm") + F.col("bank") + F.col("repeat_bonus")
     total = F.col("context_score_norm") + F.col("rule") + F.col("bank") + F.col("repeat_bonus")

@@ -17,7 +17,10 @@ def sweep(rows: DataFrame, score: str, low: float, high: float, step: float, by:
     by = by or []
     steps = int(round((high - low) / step)) + 1
     grid = [round(low + k * step, 4) for k in range(steps)]
-    reached = sum((F.when(F.col(score) >= t, 1).otherwise(0) for t in grid), F.lit(0))  # thresholds that the row passes
+    # Thresholds that the row passes: about (score - low) / step, made exact by a look at the thresholds around.
+    edge = lambda k: F.element_at(F.array(*map(F.lit, grid)), k)
+    about = F.greatest(F.lit(0), F.least(F.lit(steps), F.floor((F.least(F.greatest(F.col(score), F.lit(low - step)), F.lit(high + step)) - low) / step).cast("int") + 1))
+    reached = F.when((about > 0) & (F.col(score) < edge(F.greatest(about, F.lit(1)))), about - 1).when((about < steps) & (F.col(score) >= edge(F.least(about + 1, F.lit(steps)))), about + 1).otherwise(about)
     seen = rows.where(F.col(score).isNotNull()).groupBy(*by, reached.alias("k")).agg(F.sum("label").alias("positive"), F.count("*").alias("n"))
     every = rows.sparkSession.range(1, steps + 1).select(F.col("id").cast("int").alias("k"), F.element_at(F.array(*map(F.lit, grid)), F.col("id").cast("int")).alias("threshold"))
     groups = (seen.select(*by).distinct() if by else rows.sparkSession.range(1).select()).crossJoin(F.broadcast(every))  # the grid is fixed

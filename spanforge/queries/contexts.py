@@ -64,24 +64,32 @@ def rule_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = context.settings(rules.load().context, "PN")
     docs = detect.detect(fx.PN.df(spark, sf_dir)).select("doc_id", "text", F.inline("PN"))
     option = lambda name, default: F.lit(options["hybrid"].get(name, default))
-    score = context.rule_score(F.col("text"), F.col("start"), F.col("end"), F.col("matchString"), F.lit(""), F.lit(context.label_pattern(options["labels"])), option)
+    near = context.label_window(F.col("text"), F.col("start"), F.col("end"), option("label_window", 12))
+    score = context.rule_score(near, F.col("matchString"), F.lit(""), F.lit(context.label_pattern(options["labels"])), option)
     return docs.select("doc_id", F.round(score, 6).alias("score"))
 
 
 _RULE_SQL = f"SELECT doc_id, 0.55 AS score FROM ({fx.PN.sql()}) AS t WHERE doc_id % 4 < 2".replace("0.55", "CAST(0.55 AS DOUBLE)")
 
 
+def _table_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passports of small tables with their line, their place in it and the lines above."""
+    docs = context.with_lines(detect.detect(fx.TABLES.df(spark, sf_dir)).select("doc_id", "text", "PN"))
+    rows = docs.select("doc_id", "lines", "line_starts", F.inline("PN")).withColumn("line", context.line_of(F.col("start")))
+    place = F.col("start") - F.element_at("line_starts", F.col("line") + 1)
+    return rows.select("doc_id", F.element_at("lines", F.col("line") + 1).alias("line_text"), place.alias("line_place"), context.lines_above(F.col("line")).alias("above"))
+
+
 def header_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = detect.detect(fx.TABLES.df(spark, sf_dir)).select("doc_id", "text", F.inline("PN"))
-    return docs.select("doc_id", context.header_hint(F.col("text"), F.col("start"), None, whole_line=False).alias("hint"))
+    return context.with_header(_table_spans(spark, sf_dir), None, whole_line=False).select("doc_id", F.col("header_hint").alias("hint"))
 
 
 _HINT_SQL = f"SELECT doc_id, CASE doc_id % 3 WHEN 1 THEN 'Passport No' ELSE 'Passport' END AS hint FROM ({fx.TABLES.sql()}) AS t"
 
 
 def header_line_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = detect.detect(fx.TABLES.df(spark, sf_dir)).select("doc_id", "text", F.inline("PN"))
-    return docs.select("doc_id", context.line_header(context.lines_above(F.col("text"), F.col("start"), 64, 8000), F.lit("(?iU)passport")).alias("hint"))
+    rows = _table_spans(spark, sf_dir).withColumn("above_cells", F.transform("above", context.cells))
+    return rows.select("doc_id", context.line_header(F.col("above"), F.col("above_cells"), F.lit("(?iU)passport")).alias("hint"))
 
 
 _LINE_HINT_SQL = f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Name' || chr(9) || 'Passport' || chr(9) || 'Total' WHEN 1 THEN 'Name   Passport No   Total' ELSE 'Name Passport' END AS hint FROM ({fx.TABLES.sql()}) AS t"
