@@ -126,6 +126,11 @@ def request_id(s: Column) -> Column:
     return F.when(F.coalesce(s, F.lit("")) == "", "empty").otherwise(F.substring(F.md5(s), 1, 8))
 
 
+def distinct_list(csv: Column) -> Column:
+    """The items of a comma-separated list, trimmed and in capitals, each once where it comes first; no empty ones."""
+    return F.array_distinct(F.filter(F.transform(F.split(csv, ","), lambda x: F.upper(F.trim(x))), lambda x: x != ""))
+
+
 def fold_case(s: Column) -> Column:
     return F.lower(s)
 

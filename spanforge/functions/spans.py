@@ -81,9 +81,11 @@ def mark(text: Column, pattern: str) -> Column:
     return F.regexp_replace(F.translate(text, _OPEN + _CLOSE, "\u0003\u0004"), pattern, f"{_OPEN}$0{_CLOSE}")
 
 
-def scan_longest(text: Column, patterns: list[str], union: str, max_len: int | None = None, limit: int | None = None, needs: str | None = None) -> Column:
+def scan_longest(text: Column, patterns: list[str], union: str, max_len: int | None = None, limit: int | None = None, needs: str | None = None, cut: bool = False) -> Column:
     """Like `scan`, but of the patterns that match at the leftmost start the longest match counts. For patterns that don't
-    look behind: each round reads the text from the end of the match before. `union`: all patterns as one."""
+    look behind: each round reads the text from the end of the match before. `union`: all patterns as one.
+
+    `cut`: matches longer than `max_len` are cut to it, and the scan goes on from there; else they are dropped."""
     begin = F.struct(F.lit(0).alias("at"), no_spans().alias("found"))
 
     def step(state: Column, _: Column) -> Column:
@@ -94,15 +96,17 @@ def scan_longest(text: Column, patterns: list[str], union: str, max_len: int | N
 
         def after(x: Column) -> Column:
             start = state["at"] + x["first"] - 1
-            own = span(start, start + F.length(x["m"]), x["m"])
-            moved = F.struct((start + F.length(x["m"])).alias("at"), F.array_append(state["found"], own).alias("found"))
+            match = F.substring(x["m"], 1, max_len) if cut and max_len else x["m"]
+            own = span(start, start + F.length(match), match)
+            moved = F.struct((start + F.length(match)).alias("at"), F.array_append(state["found"], own).alias("found"))
             return F.when(x.isNull(), state).otherwise(moved)
 
         return let(let(text.substr(state["at"] + 1, F.length(text)), best), after)
 
-    rounds = F.sequence(F.lit(1), F.regexp_count(text, F.lit(union)) + 4)
+    more = F.floor(F.length(text) / max_len).cast("int") if cut and max_len else F.lit(0)
+    rounds = F.sequence(F.lit(1), F.regexp_count(text, F.lit(union)) + 4 + more)
     found = F.aggregate(rounds, begin, step)["found"]
-    if max_len is not None:
+    if max_len is not None and not cut:
         found = F.filter(found, lambda x: x["end"] - x["start"] <= max_len)
     if limit is not None:
         found = F.slice(found, 1, limit)

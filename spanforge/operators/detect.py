@@ -6,6 +6,8 @@ Null texts have no spans.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -73,20 +75,10 @@ def typed(found: Column, key: str) -> Column:
     return F.transform(found, lambda x: F.struct(F.lit(key).alias("type"), x["start"].alias("start"), x["end"].alias("end"), x["matchString"].alias("matchString")))
 
 
-def detect(df: DataFrame, ruleset: str | Bundle = "default", text_col: str = "text", limit: int | None = None, include_invalid: bool = False, strict_structure: bool = False, normalize: bool = True, prefix: str = "") -> DataFrame:
-    """`df` with one span-array column per type of the ruleset (named `prefix` + type), before the context filter.
-
-    Zero-width characters are ignored, offsets are those of the source. `include_invalid` adds SN_INVALID, which then keeps
-    phones and accounts from those spans. `strict_structure` drops spans that fail the type's structure test.
-    """
-    bundle = ruleset if isinstance(ruleset, Bundle) else rules.load(ruleset)
-    limit = bundle.limit if limit is None else limit
-    source, plain = F.col(text_col), f"{prefix}plain_text_of_{text_col}"
-    df = df.withColumn(plain, F.coalesce(scalar.strip_zero_width(source) if normalize else source, F.lit("")))
-    text = F.col(plain)
-    keys = [k for k in bundle.steps if k in bundle.types]
+def _scanned(df: DataFrame, bundle: Bundle, keys: list[str], text: Column, limit: int, out: dict[str, str], prefix: str, include_invalid: bool, strict_structure: bool) -> DataFrame:
+    """`df` with the columns of neighbouring scan steps, and their names in `out`."""
     df = df.withColumns({f"{prefix}{k}": detect_type(text, bundle.types[k], limit) for k in keys})
-    out = {k: f"{prefix}{k}" for k in keys}
+    out |= {k: f"{prefix}{k}" for k in keys}
     checked: dict[str, Column] = {}
     for key in (k for k in keys if bundle.types[k].checksum):
         if include_invalid:
@@ -94,13 +86,39 @@ def detect(df: DataFrame, ruleset: str | Bundle = "default", text_col: str = "te
             checked[out[f"{key}_INVALID"]] = valid_numbers(F.col(out[key]), False)
         checked[out[key]] = valid_numbers(F.col(out[key]))
     df = df.withColumns(checked) if checked else df
-    if strict_structure:
-        df = df.withColumns({out[k]: with_structure(F.col(out[k]), k) for k in keys})
-    others = lambda rule: [F.col(out[k]) for k in rule.postfilter.get("reject_overlap_with", []) if k in out]
-    if "post_mn" in bundle.steps and "MN" in out:
-        df = df.withColumn(out["MN"], filter_phones(F.col(out["MN"]), text, bundle.types["MN"], others(bundle.types["MN"])))
-    if "post_bn" in bundle.steps and "BN" in out:
-        df = df.withColumn(out["BN"], filter_accounts(F.col(out["BN"]), text, bundle.types["BN"], others(bundle.types["BN"])))
+    return df.withColumns({out[k]: with_structure(F.col(out[k]), k) for k in keys}) if strict_structure else df
+
+
+Step = Callable[[DataFrame, Column, dict[str, str]], DataFrame]
+
+
+def detect(df: DataFrame, ruleset: str | Bundle = "default", text_col: str = "text", limit: int | None = None, include_invalid: bool = False, strict_structure: bool = False, normalize: bool = True, prefix: str = "", custom: dict[str, Step] | None = None) -> DataFrame:
+    """`df` with one span-array column per type of the ruleset (named `prefix` + type), before the context filter.
+
+    The ruleset's steps run in their order: a filter sees the types scanned before it. `custom` has further steps by name,
+    each a function of (df, text, columns by type) that returns `df` with columns added or replaced and puts new types into
+    the mapping; names that nobody knows are passed over. Zero-width characters are ignored, offsets are those of the source. `include_invalid` adds SN_INVALID, which then keeps
+    phones and accounts from those spans. `strict_structure` drops spans that fail the type's structure test. Columns of
+    `df` that are named like a type are replaced; a `prefix` keeps them.
+    """
+    bundle = ruleset if isinstance(ruleset, Bundle) else rules.load(ruleset)
+    limit = bundle.limit if limit is None else limit
+    source, plain = F.col(text_col), f"{prefix}plain_text_of_{text_col}"
+    df = df.withColumn(plain, F.coalesce(scalar.strip_zero_width(source) if normalize else source, F.lit("")))
+    text, out, waiting, custom = F.col(plain), {}, [], custom or {}
+    filters = {"post_mn": ("MN", filter_phones), "post_bn": ("BN", filter_accounts)}
+    for step in [*bundle.steps, None]:
+        if step in bundle.types and step not in custom:
+            waiting.append(step)
+            continue
+        if waiting and (step is None or step in filters or step in custom):
+            df, waiting = _scanned(df, bundle, waiting, text, limit, out, prefix, include_invalid, strict_structure), []
+        if step in custom:
+            df = custom[step](df, text, out)
+        elif step in filters and filters[step][0] in out:
+            key, kept = filters[step]
+            others = [F.col(out[k]) for k in bundle.types[key].postfilter.get("reject_overlap_with", []) if k in out]
+            df = df.withColumn(out[key], kept(F.col(out[key]), text, bundle.types[key], others))
     if normalize:
         odd = source.rlike(f"[{scalar.ZERO_WIDTH}]")
         kept = spans.kept_positions(source, scalar.ZERO_WIDTH)
@@ -108,6 +126,10 @@ def detect(df: DataFrame, ruleset: str | Bundle = "default", text_col: str = "te
     return df.drop(plain)
 
 
+#: Fixed value: one example of each type but accounts.
+SELF_TEST = "SN=900101-1234567 DN=11-22-333333-44 PN=M12345678 MN=010-1234-5678 SSN=123-45-6789 EML=test.user+aa@company.co.kr IP=192.168.0.10 AN=서울특별시 강남구 테헤란로 123-4"
+
+
 def with_meta(df: DataFrame, bundle: Bundle) -> DataFrame:
     """`df` with the ruleset's name, version and time."""
     return df.withColumns({"ruleset_name": F.lit(bundle.name), "ruleset_version": F.lit(bundle.version), "ruleset_updated_at": F.lit(bundle.updated_at)})
@@ -138,6 +160,11 @@ def observed(df: DataFrame, name: str, types: list[str], prefix: str = "") -> tu
     return df.observe(watch, F.count(F.lit(1)).alias("rows"), *[F.sum(F.size(f"{prefix}{k}")).alias(k) for k in types]), watch
 
 
+def context_totals(explained: DataFrame) -> DataFrame:
+    """Kept and rejected spans per type, of what the context filter explained."""
+    return explained.groupBy("type").agg(F.count_if("context_pass").alias("kept"), F.count_if(~F.col("context_pass")).alias("rejected"))
+
+
 def prune(df: DataFrame) -> DataFrame:
     """Long-form spans without invalid numbers and spans that the context filter rejected."""
     return df.where((F.col("type") != "SN_INVALID") & ~F.col("type").endswith("_CTX_REJECTED"))

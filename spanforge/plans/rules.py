@@ -102,6 +102,42 @@ def compile_type(key: str, doc: dict, default_len: int = 240) -> TypeRule:
     )
 
 
+def bad_patterns(types: dict[str, TypeRule]) -> list[tuple[str, str, str]]:
+    """(type, pattern, what is wrong) of every pattern that the JVM's regex engine doesn't compile; needs a running session."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.sql import SparkSession
+
+    compile_ = SparkSession.getActiveSession()._jvm.java.util.regex.Pattern.compile
+    found = []
+    for key, rule in types.items():
+        for pattern in [*rule.longest, rule.pattern, *([rule.needs] if rule.needs else [])]:
+            try:
+                compile_(pattern)
+            except Py4JJavaError as e:
+                found.append((key, pattern, e.java_exception.getDescription()))
+    return found
+
+
+def checked(bundle: Bundle) -> Bundle:
+    """`bundle`, if all of its patterns compile: else an error that names them, before any task runs."""
+    if bad := bad_patterns(bundle.types):
+        raise ValueError("; ".join(f"{key}: {what} in {pattern!r}" for key, pattern, what in bad))
+    return bundle
+
+
+class Reloading:
+    """A ruleset that is read again when one of its files has changed or gone; `get` returns the current bundle."""
+
+    def __init__(self, name: str = "default", folder: str | Path | None = None):
+        self.name, self.folder = name, folder or RULES
+        self.bundle = load(name, self.folder)
+
+    def get(self) -> Bundle:
+        if stale(self.bundle):
+            self.bundle = load(self.name, self.folder)
+        return self.bundle
+
+
 @dataclass(frozen=True)
 class Bundle:
     """A ruleset as loaded: steps in order, compiled types, the context section, and what tells its version."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from ..operators import chunks, context, detect, tools
 from ..plans import rules
 from ..sources import fixtures as fx
 from ..sources import formats
+from . import scans
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -201,13 +204,15 @@ _MERGE_SQL = f"SELECT doc_id, s AS span_start, e AS span_end, m AS match_text FR
 
 
 def fast_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of 8,000 characters or more keep at most one address each and no account."""
+    """Mails and addresses of every document; those of 50,000 characters or more keep 100 of a type at most."""
     docs = detect.detect(_read(spark, sf_dir, "documents").select("doc_id", "text"))
-    cut = chunks.fast_path(docs, ["IP", "BN"], at_least=8000, limit=1)
-    return cut.where((F.size("IP") > 0) & (F.length("text") >= 8000)).select("doc_id", F.size("IP").alias("ips"), F.size("BN").alias("accounts"))
+    cut = chunks.fast_path(docs, ["EML", "IP", "BN"])
+    return cut.select("doc_id", F.size("EML").alias("mails"), F.size("IP").alias("ips"), ((F.length("text") >= 50_000) & (F.size("BN") > 0)).alias("has_accounts"))
 
 
-_FAST_SQL = r"SELECT doc_id, CAST(1 AS INT) AS ips, CAST(0 AS INT) AS accounts FROM documents WHERE length(text) >= 8000 AND regexp_matches(text, '(?:^|[^\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:[^\d.]|$)')"
+_FAST_SQL = f"""WITH m AS (SELECT doc_id, count(*) AS n FROM ({scans.QUERIES['det_eml'][1]}) AS t GROUP BY doc_id), i AS (SELECT doc_id, count(*) AS n FROM ({scans.QUERIES['det_ip'][1]}) AS t GROUP BY doc_id)
+SELECT d.doc_id, CAST(least(coalesce(m.n, 0), CASE WHEN length(text) >= 50000 THEN 100 ELSE 500 END) AS INT) AS mails, CAST(least(coalesce(i.n, 0), CASE WHEN length(text) >= 50000 THEN 100 ELSE 500 END) AS INT) AS ips,
+ false AS has_accounts FROM documents AS d LEFT JOIN m ON m.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id"""
 
 
 def ruleset_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,12 +223,94 @@ _RULESETS_SQL = "SELECT * FROM (VALUES ('default', CAST(12 AS INT), CAST(16 AS I
 
 
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Content fingerprints of document groups: names and bytes in order of name."""
-    docs = _read(spark, sf_dir, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.concat(F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit("\n"), F.md5("text"), F.lit("\n\n")))).alias("p"))
-    return docs.select("source", F.substring(F.sha2(F.array_join("p", ""), 256), 1, 16).alias("version"))
+    """Content fingerprints of the library's rulesets."""
+    return spark.createDataFrame([(b.name, b.version) for b in rules.list_rulesets()], "name string, version string")
+
+
+_FINGERPRINT_SQL = " UNION ALL ".join(f"SELECT '{b.name}' AS name, substr(sha256(string_agg(parse_filename(filename) || chr(10) || content || chr(10) || chr(10), '' ORDER BY filename)), 1, 16) AS version FROM read_text({sorted(b.mtimes)!r})" for b in rules.list_rulesets())
+
+
+def step_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts if phones are scanned behind the filter that would part them, beside a step that only this query knows."""
+    def marked(df: DataFrame, text, columns: dict[str, str]) -> DataFrame:
+        columns["WORD"] = "WORD"
+        return df.withColumn("WORD", spans.scan(text, "id|card"))
+
+    bundle = replace(rules.load(), steps=["BN", "post_bn", "MN", "word", "unknown"])
+    docs = detect.detect(fx.BN.df(spark, sf_dir), bundle, custom={"word": marked})
+    return docs.select("doc_id", F.size("WORD").alias("words"), F.inline_outer("BN")).select("doc_id", "words", F.col("matchString").alias("match_text"))
+
+
+_STEP_SQL = f"""WITH b AS ({scans.positional(fx.BN.sql(), scans._BN, "[0-9]", "[^0-9]", fold=True)}), k AS (SELECT doc_id, match_text FROM b WHERE length(regexp_replace(match_text, '[^0-9]', '', 'g')) BETWEEN 10 AND 14)
+SELECT t.doc_id, CAST(contains(text, 'card') AS INT) + CAST(contains(text, 'id') AS INT) AS words, match_text FROM ({fx.BN.sql()}) AS t LEFT JOIN k ON k.doc_id = t.doc_id"""
+
+#: Runs of capitals that are longer than the limit of five.
+_RUNS = fx.derived("customer", "", ("k AS doc_id", "CAST(k % 17 AS INT) AS a", "CAST(k % 7 AS INT) AS b"), ("doc_id", "a", "b", "repeat('A', a) || ' x ' || repeat('B', b) AS text"))
+
+
+def cursor_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches that are too long are cut, and the scan goes on behind the cut."""
+    found = spans.scan_longest(F.col("text"), ["[A-Z]+"], "[A-Z]+", max_len=5, cut=True)
+    return _RUNS.df(spark, sf_dir).select("doc_id", F.inline(found)).select("doc_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), F.col("matchString").alias("match_text"))
+
+
+_CURSOR_SQL = f"""WITH r AS (SELECT doc_id, text, a, b FROM ({_RUNS.sql()}) AS t), p AS (SELECT doc_id, text, unnest(range(0, a, 5)) AS s, a AS e FROM r UNION ALL SELECT doc_id, text, a + 3 + unnest(range(0, b, 5)), a + 3 + b FROM r)
+SELECT doc_id, CAST(s AS INT) AS span_start, CAST(least(s + 5, e) AS INT) AS span_end, substr(text, CAST(s + 1 AS INT), CAST(least(5, e - s) AS INT)) AS match_text FROM p"""
+
+_BROKEN = fx.derived("customer", "", ("k AS doc_id", "'x <ab' || chr(10) || '  cd ' || CAST(k AS STRING) || '  ' || chr(10) || chr(10) || 'e> y' AS text"))
+
+
+def newline_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans over several lines as trimmed spans of one line each."""
+    found = spans.split_lines(spans.scan(F.col("text"), "<[^>]*>"))
+    return _BROKEN.df(spark, sf_dir).select("doc_id", F.inline(found)).select("doc_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), F.col("matchString").alias("match_text"))
+
+
+_BROKEN_SQL = f"""WITH t AS (SELECT doc_id, text, string_split(regexp_extract(text, '<[^>]*>'), chr(10)) AS l FROM ({_BROKEN.sql()}) AS t), p AS (SELECT doc_id, text, trim(unnest(l)) AS m FROM t)
+SELECT doc_id, CAST(strpos(text, m) - 1 AS INT) AS span_start, CAST(strpos(text, m) - 1 + length(m) AS INT) AS span_end, m AS match_text FROM p WHERE m <> ''"""
+
+
+def self_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of each type in the example text."""
+    docs = detect.detect(spark.createDataFrame([(1, detect.SELF_TEST)], "doc_id int, text string"), include_invalid=True)
+    long = detect.long_form(docs, ["doc_id"], [k for k in docs.columns if k not in ("doc_id", "text")])
+    return long.groupBy("type").agg(F.count("*").alias("n"), F.min("matchString").alias("found"))
+
+
+#: The number in the example has a false check digit; its date is one.
+_SELF_SQL = "SELECT CASE t WHEN 'SN' THEN 'SN_INVALID' ELSE t END AS type, CAST(1 AS BIGINT) AS n, m AS found FROM (SELECT unnest(['DN', 'PN', 'MN', 'SSN', 'EML', 'IP', 'SN', 'AN']) AS t, unnest(['11-22-333333-44', 'M12345678', '010-1234-5678', '123-45-6789', 'test.user+aa@company.co.kr', '192.168.0.10', '900101-1234567', '서울특별시 강남구 테헤란로 123-4']) AS m) AS x"
+
+
+def list_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types named in comma-separated lists, each once."""
+    return _read(spark, sf_dir, "part").select("p_partkey", F.array_join(scalar.distinct_list(F.concat_ws(",", F.replace("p_type", F.lit(" "), F.lit(" , ")), F.lit(" ,"), F.replace(F.lower("p_type"), F.lit(" "), F.lit(",")))), "|").alias("items"))
+
+
+_LIST_SQL = "SELECT p_partkey, list_aggregate(list_transform(list_sort(list_transform(list_distinct(l), lambda x: {'at': list_position(l, x), 'x': x})), lambda y: y.x), 'string_agg', '|') AS items FROM (SELECT p_partkey, string_split(upper(p_type), ' ') AS l FROM part) AS t"
+
+
+def context_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept and rejected spans of each type over passports and bare numbers."""
+    docs = fx.PN.df(spark, sf_dir).unionByName(_BARE.df(spark, sf_dir).select((-F.col("doc_id")).alias("doc_id"), "text"))
+    return detect.context_totals(context.explain_context(detect.detect(docs), ["doc_id"]))
+
+
+_TOTALS_SQL = "SELECT 'PN' AS type, count(*) FILTER (WHERE c_custkey % 4 < 2) AS kept, count(*) FILTER (WHERE c_custkey % 3 = 0) AS rejected FROM customer UNION ALL SELECT 'DN', 0, count(*) FILTER (WHERE c_custkey % 3 > 0) FROM customer"
+
+#: One text for each of the decisions that a passport or resident number can meet.
+_DECIDED = fx.derived("customer", "", ("k AS doc_id", f"{fx.pad('k % 10000', 4)} AS d"), ("doc_id", """CASE doc_id % 4 WHEN 0 THEN '등본 900101-1234568' WHEN 1 THEN 'a M1111' || d || ' x' || chr(10) || 'b M2222' || d || ' y' || chr(10) || 'c M3333' || d || ' z'
+ WHEN 2 THEN 'ref M1111' || d ELSE 'passport M1111' || d END AS text"""))
+
+
+def context_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans that a phrase, a run of equal rows or labels and digits let pass, and spans that nothing does."""
+    rows = context.explain_context(detect.detect(_DECIDED.df(spark, sf_dir)), ["doc_id"]).where("type IN ('SN', 'PN')")
+    return rows.groupBy("doc_id", "type", "context_accept_by", "context_pass").agg(F.count("*").alias("n"), F.round(F.max("context_hybrid_score"), 6).alias("hybrid"), F.max("context_repeat_bonus").alias("bonus"))
 
 
-_FINGERPRINT_SQL = "SELECT source, substr(sha256(string_agg(lpad(CAST(doc_id AS STRING), 12, '0') || chr(10) || md5(text) || chr(10) || chr(10), '' ORDER BY lpad(CAST(doc_id AS STRING), 12, '0'))), 1, 16) AS version FROM documents GROUP BY source"
+#: Digits 0.1; the repeat bonus 0.35 lets a run pass before labels count; passport: one of four phrases, label 0.45 and digits.
+_DECIDED_SQL = f"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'SN' ELSE 'PN' END AS type, CASE doc_id % 4 WHEN 0 THEN 'force_phrase' WHEN 1 THEN 'hybrid_base' ELSE 'hybrid' END AS context_accept_by, doc_id % 4 <> 2 AS context_pass,
+ CAST(CASE doc_id % 4 WHEN 1 THEN 3 ELSE 1 END AS BIGINT) AS n, CAST(CASE doc_id % 4 WHEN 1 THEN 0.35 WHEN 2 THEN 0.1 WHEN 3 THEN 0.8 END AS DOUBLE) AS hybrid, CAST(CASE doc_id % 4 WHEN 1 THEN 0.35 ELSE 0 END AS DOUBLE) AS bonus FROM ({_DECIDED.sql()}) AS t"""
 
 
 def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,6 +377,8 @@ QUERIES = {
     "repeat_bonus": (repeat_bonus, _REPEAT_SQL), "repeat_same_match": (repeat_same_match, _SAME_SQL), "force_phrase": (force_phrase, _FORCE_SQL), "bank_bonus": (bank_bonus, _BANK_SQL),
     "context_ladder": (context_ladder, _LADDER_SQL), "context_rejected": (context_rejected, _REJECTED_SQL), "embed_score": (embed_score, _EMBED_SQL), "embed_filter": (embed_filter, None),
     "split_ranges": (split_ranges, _SPLIT_SQL), "merge_chunks": (merge_chunks, _MERGE_SQL), "fast_path": (fast_path, _FAST_SQL), "long_text": (long_text, None),
+    "step_order": (step_order, _STEP_SQL), "cursor_scan": (cursor_scan, _CURSOR_SQL), "newline_split": (newline_split, _BROKEN_SQL), "self_test": (self_test, _SELF_SQL),
+    "list_dedup": (list_dedup, _LIST_SQL), "context_totals": (context_totals, _TOTALS_SQL), "context_decisions": (context_decisions, _DECIDED_SQL),
     "ruleset_list": (ruleset_list, _RULESETS_SQL), "fingerprint": (fingerprint, _FINGERPRINT_SQL), "search_topk": (search_topk, _SEARCH_SQL),
     "eval_sweep": (eval_sweep([]), _sweep_sql("")), "eval_sweep_by_type": (eval_sweep(["type"]), _sweep_sql("type")),
     "latency_percentiles": (latency_percentiles, _LATENCY_SQL), "status_histogram": (status_histogram, "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus"),
