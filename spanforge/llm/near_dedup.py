@@ -35,6 +35,8 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 3
 #: Ratio of the weights at either end of a class of sets in the prefix search.
 SIZE_STEP = 1.08
+#: Rows of a slot from which on pairs are bounded by PARTS (a power of two) sums of weights before their texts are compared.
+CROWDED, PARTS = 64, 128
 #: Bounds on sums of weights are loosened by this share, so that rounding rules out no pair.
 SLACK = 1e-6
 #: Least and greatest size of the table of document counts, which grows with the number of texts.
@@ -419,6 +421,22 @@ def _prefixes(idf: np.ndarray, rarity: np.ndarray, threshold: float):
     return run
 
 
+def parts_of(shingle: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The weight of a set in each of PARTS parts of the hash range: two sets have no more in common than the sum of the smaller ones."""
+    return np.bincount((shingle >> _U(64 - PARTS.bit_length() + 1)).astype(np.int64), weight.astype(float), PARTS)
+
+
+def _sketched(idf: np.ndarray):
+    @lean
+    def run(batches):
+        shingler, unpack = Shingler(idf), zstandard.ZstdDecompressor()
+        for batch in batches:
+            own = [parts_of(*shingler.weighted(unpack.decompress(z))).astype(np.float32) for z in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.float32()))], ["part_of", "parts"])
+
+    return run
+
+
 def prefix_pairs(texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     """(centre, key): all pairs of `texts` (key, z, root) of unlike root that may be as alike as `threshold`.
 
@@ -430,14 +448,20 @@ def prefix_pairs(texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFra
     firsts = staged(texts.mapInArrow(_prefixes(idf, rarity, threshold), "slot long, asks boolean, key string, root string, rest double, total double, class long"), "prefixes")
     # Nodes of a slot's largest component never meet each other.
     sizes = firsts.groupBy("slot", "root").agg(F.count("*").alias("n"), F.max("asks").alias("some"), F.min("asks").alias("all")).groupBy("slot")
-    largest = sizes.agg(F.max(F.struct("n", "root")).alias("largest"), F.count("*").alias("roots"), F.max("some").alias("some"), F.min("all").alias("all"))
-    held = firsts.join(largest.where("roots > 1 AND some AND NOT all").select("slot", F.col("largest.root").alias("most")), "slot")
+    largest = sizes.agg(F.max(F.struct("n", "root")).alias("largest"), F.sum("n").alias("rows"), F.count("*").alias("roots"), F.max("some").alias("some"), F.min("all").alias("all"))
+    held = firsts.join(largest.where("roots > 1 AND some AND NOT all").select("slot", F.col("largest.root").alias("most"), (F.col("rows") >= CROWDED).alias("crowded")), "slot")
     # A pair meets at the first shingle that both have: what either has before it (few, of one class) tells.
     before = F.collect_list("slot").over(Window.partitionBy("key", "asks", "class").orderBy(F.desc("rest")).rowsBetween(Window.unboundedPreceding, -1))
     held = staged(held.withColumn("before", before).drop("class"), "shared")
-    asking = held.where("asks").select("slot", F.col("most").alias("other_most"), *[F.col(c).alias(f"other_{c}") for c in ("key", "root", "rest", "total", "before")])
+    # Where many sets meet, what two have in common is bounded by the smaller of their weights in each part of the hash range.
+    crowd = texts.join(held.where("crowded").select("key").distinct(), "key").select("key", "z")
+    parts = staged(crowd.mapInArrow(_sketched(idf), "part_of string, parts array<float>"), "parts")
+    held = held.join(parts, F.col("crowded") & (F.col("key") == F.col("part_of")), "left").drop("part_of", "crowded")
+    asking = held.where("asks").select("slot", F.col("most").alias("other_most"), *[F.col(c).alias(f"other_{c}") for c in ("key", "root", "rest", "total", "before", "parts")])
     found, inside = held.where("NOT asks"), F.col("root") == F.col("most")
     enough = F.least("rest", "other_rest") >= (F.col("total") + F.col("other_total")) * (threshold / (1 + threshold) * (1 - SLACK))
+    both = F.aggregate(F.zip_with("parts", "other_parts", lambda x, y: F.least(x, y)), F.lit(0.0), lambda a, x: a + x)
+    enough &= F.coalesce(both >= (F.col("total") + F.col("other_total")) * (threshold / (1 + threshold) * (1 - 10 * SLACK)), F.lit(True))
     met = found.where(~inside).join(asking, "slot").unionByName(found.where(inside).join(asking.where("other_root != other_most"), "slot"))
     met = met.where((F.col("root") != F.col("other_root")) & enough & ~F.arrays_overlap("before", "other_before"))
     return met.select(F.least("key", "other_key").alias("centre"), F.greatest("key", "other_key").alias("key")).distinct()

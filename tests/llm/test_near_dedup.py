@@ -57,8 +57,9 @@ def test_classes_against_brute_force(spark):
     assert got == [100 + k for k in expected]
 
 
-def test_pairs_in_a_large_family_of_one_template(spark):
+def test_pairs_in_a_large_family_of_one_template(spark, monkeypatch):
     """Texts of one template are 0.7 alike; pairs among them that are 0.8 alike meet mostly in buckets of the whole family."""
+    monkeypatch.setattr(nd, "CROWDED", 2)  # all candidates are bounded by parts
     rng = np.random.default_rng(5)
     word = lambda n: [f"w{k}" for k in rng.integers(0, 5000, n)]
     template, texts = word(400), []
@@ -145,5 +146,8 @@ def test_prefixes_miss_no_pair():
         for b in range(a):
             if nd.weighted_jaccard(sets[a], sets[b]) >= 0.8:
                 near += 1
+                both = np.minimum(nd.parts_of(*sets[a]).astype(np.float32), nd.parts_of(*sets[b]).astype(np.float32)).sum(dtype=float)
+                total = float(sets[a][1].sum(dtype=float) + sets[b][1].sum(dtype=float))
+                assert both >= total * (0.8 / 1.8) * (1 - 10 * nd.SLACK)
                 assert own[a] & asked[b] or own[b] & asked[a]
     assert near > 20
