@@ -37,6 +37,11 @@ def test_an_address_before_a_full_stop_is_no_match(spark):
     assert _found(spark, ["mail a@b.co.", "mail a@b.co,"]) == [set(), {("EML", "a@b.co")}]
 
 
+def test_signs_behind_an_address_end_it(spark):
+    texts = ["mail a@b.co%%% x", "a@b.co_", "a@b.co+1", "a@b.co%.", "a@b.co1%", "a@b.co-%", "%a@b.co%"]
+    assert _found(spark, texts) == [{("EML", "a@b.co")}] * 4 + [set()] * 3
+
+
 def test_strict_ruleset_and_limit(spark):
     assert _found(spark, ["계좌 11012345678901", "계좌 110-1234-5678901"], ruleset="strict") == [set(), {("BN", "110-1234-5678901")}]
     assert [len(x) for x in _found(spark, ["a@b.co c@d.co e@f.co"], limit=2)] == [2]

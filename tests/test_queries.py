@@ -36,6 +36,16 @@ def test_query(spark, tables, name):
     assert _rows(found) == _rows(expected)
 
 
+def test_mails_before_signs(spark, tmp_path):
+    """What follows a mail: every sign of the tables' junk and those that only a local part may hold."""
+    texts = [f"ab cd.{k}@mail.example.com{sign} ef 10.0.0.{k}" for k, sign in enumerate(["%%%", "&&&", "###", "_", "+1", ".", "-", "!!", "%", "%%%\n", "@"])] + [None, "", "%%%x@y.org%%%"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    with duckdb.connect() as own:
+        own.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        expected = own.sql(registry.ORACLE_SQL["det_eml"]).df()
+    assert len(expected) == 9 and _rows(registry.QUERIES["det_eml"](spark, str(tmp_path)).toPandas()) == _rows(expected)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
