@@ -42,8 +42,10 @@ def test_mails_before_signs(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     with duckdb.connect() as own:
         own.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
-        expected = own.sql(registry.ORACLE_SQL["det_eml"]).df()
-    assert len(expected) == 9 and _rows(registry.QUERIES["det_eml"](spark, str(tmp_path)).toPandas()) == _rows(expected)
+        expected = {name: own.sql(registry.ORACLE_SQL[name]).df() for name in ("det_eml", "fast_path")}
+    assert len(expected["det_eml"]) == 9 and expected["fast_path"].mails.sum() == 9
+    for name, rows in expected.items():
+        assert _rows(registry.QUERIES[name](spark, str(tmp_path)).toPandas()) == _rows(rows)
 
 
 def test_entry(spark):
