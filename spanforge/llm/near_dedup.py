@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lean, small_batches, staged, table, text_bytes, tree_sum
+from .common import drop_staged, lean, small_batches, staged, table, text_bytes, tree_sum
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 3
@@ -296,6 +296,7 @@ def links(docs: DataFrame, firsts: DataFrame, threshold: float = THRESHOLD) -> D
     at = F.collect_list(F.struct("band", "bucket")).alias("at")  # a node has BANDS of them at most
     members = met.join(shared, ["band", "bucket"]).groupBy("key").agg(F.any_value("total").alias("total"), F.sum("n").alias("degree"), at)
     members = staged(members, "members")
+    drop_staged(nodes)
     number = members.count()
     # Of a node's copies the first one's text is moved: no task gets all copies.
     heads = members.select("key").join(firsts, "key").select("key", F.col("first").alias("doc_id"))
@@ -347,7 +348,7 @@ def links(docs: DataFrame, firsts: DataFrame, threshold: float = THRESHOLD) -> D
     open_nodes = staged(left.select("key", "root").distinct(), "open", number // 20_000)
     if open_nodes.isEmpty():
         return found()
-    pairs = prefix_pairs(texts.join(open_nodes, "key"), idf, threshold)
+    pairs = prefix_pairs(texts, open_nodes, idf, threshold)
     pairs = staged(pairs.join(done[0].unionByName(done[1]).select("centre", "key"), ["centre", "key"], "left_anti"), "pairs")
     done.append(tested(pairs, pairs.count()))
     return found()
@@ -416,7 +417,7 @@ def _prefixes(idf: np.ndarray, rarity: np.ndarray, threshold: float):
                 of = pa.array(np.repeat(np.arange(len(own)), [len(x[0]) for x in own]))
                 total = pa.array([t for _, _, t in firsts], pa.float64())
                 columns = [pa.array(np.concatenate([x[k] for x in own]), t) for k, t in enumerate((pa.int64(), pa.bool_(), pa.float64(), pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*columns[:2], part.column(1).take(of), part.column(2).take(of), columns[2], total.take(of), columns[3]], ["slot", "asks", "key", "root", "rest", "total", "class"])
+                yield pa.RecordBatch.from_arrays([*columns[:2], part.column(1).take(of), part.column(2).take(of), columns[2], total.take(of), columns[3]], ["slot", "asks", "node", "part", "rest", "total", "class"])
 
     return run
 
@@ -437,34 +438,40 @@ def _sketched(idf: np.ndarray):
     return run
 
 
-def prefix_pairs(texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """(centre, key): all pairs of `texts` (key, z, root) of unlike root that may be as alike as `threshold`.
+def prefix_pairs(texts: DataFrame, nodes: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """(centre, key): all pairs of `nodes` (key, root) of unlike root that may be as alike as `threshold`; `texts` (key, z).
 
-    The table of shingle counts only orders the shingles, rare ones first; any order gives right results.
+    The table of shingle counts only orders the shingles, rare ones first; any order gives right results. Nodes and their
+    components (column part) are numbers here: a node has hundreds of rows.
     """
-    texts = staged(texts.select("z", "key", "root"), "apart")
+    nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "numbered")
+    numbers = nodes.join(nodes.groupBy("root").agg(F.min("node").alias("part")), "root").select("key", "node", "part")
+    texts = staged(texts.join(numbers, "key").select("z", "node", "part"), "apart")
     size = 1 << min(22, max(16, (32 * texts.count()).bit_length()))
     rarity = tree_sum(texts.select("z").mapInArrow(_rarity(idf, size), "part binary"), "int32")
-    firsts = staged(texts.mapInArrow(_prefixes(idf, rarity, threshold), "slot long, asks boolean, key string, root string, rest double, total double, class long"), "prefixes")
+    firsts = staged(texts.mapInArrow(_prefixes(idf, rarity, threshold), "slot long, asks boolean, node long, part long, rest double, total double, class long"), "prefixes")
     # Nodes of a slot's largest component never meet each other.
-    sizes = firsts.groupBy("slot", "root").agg(F.count("*").alias("n"), F.max("asks").alias("some"), F.min("asks").alias("all")).groupBy("slot")
-    largest = sizes.agg(F.max(F.struct("n", "root")).alias("largest"), F.sum("n").alias("rows"), F.count("*").alias("roots"), F.max("some").alias("some"), F.min("all").alias("all"))
-    held = firsts.join(largest.where("roots > 1 AND some AND NOT all").select("slot", F.col("largest.root").alias("most"), (F.col("rows") >= CROWDED).alias("crowded")), "slot")
+    sizes = firsts.groupBy("slot", "part").agg(F.count("*").alias("n"), F.max("asks").alias("some"), F.min("asks").alias("all")).groupBy("slot")
+    largest = sizes.agg(F.max(F.struct("n", "part")).alias("largest"), F.sum("n").alias("rows"), F.count("*").alias("parts"), F.max("some").alias("some"), F.min("all").alias("all"))
+    several = staged(largest.where("parts > 1 AND some AND NOT all").select("slot", F.col("largest.part").alias("most"), (F.col("rows") >= CROWDED).alias("crowded")), "slots")
     # A pair meets at the first shingle that both have: what either has before it (few, of one class) tells.
-    before = F.collect_list("slot").over(Window.partitionBy("key", "asks", "class").orderBy(F.desc("rest")).rowsBetween(Window.unboundedPreceding, -1))
-    held = staged(held.withColumn("before", before).drop("class"), "shared")
+    before = F.collect_list("slot").over(Window.partitionBy("node", "asks", "class").orderBy(F.desc("rest")).rowsBetween(Window.unboundedPreceding, -1))
+    held = staged(firsts.join(several, "slot").withColumn("before", before).drop("class"), "shared")
+    drop_staged(firsts)
     # Where many sets meet, what two have in common is bounded by the smaller of their weights in each part of the hash range.
-    crowd = texts.join(held.where("crowded").select("key").distinct(), "key").select("key", "z")
-    parts = staged(crowd.mapInArrow(_sketched(idf), "part_of string, parts array<float>"), "parts")
-    held = held.join(parts, F.col("crowded") & (F.col("key") == F.col("part_of")), "left").drop("part_of", "crowded")
-    asking = held.where("asks").select("slot", F.col("most").alias("other_most"), *[F.col(c).alias(f"other_{c}") for c in ("key", "root", "rest", "total", "before", "parts")])
-    found, inside = held.where("NOT asks"), F.col("root") == F.col("most")
+    crowd = texts.join(held.where("crowded").select("node").distinct(), "node").select("node", "z")
+    parts = staged(crowd.mapInArrow(_sketched(idf), "part_of long, parts array<float>"), "parts")
+    held = held.join(parts, F.col("crowded") & (F.col("node") == F.col("part_of")), "left").drop("part_of", "crowded")
+    asking = held.where("asks").select("slot", F.col("most").alias("other_most"), *[F.col(c).alias(f"other_{c}") for c in ("node", "part", "rest", "total", "before", "parts")])
+    found, inside = held.where("NOT asks"), F.col("part") == F.col("most")
     enough = F.least("rest", "other_rest") >= (F.col("total") + F.col("other_total")) * (threshold / (1 + threshold) * (1 - SLACK))
     both = F.aggregate(F.zip_with("parts", "other_parts", lambda x, y: F.least(x, y)), F.lit(0.0), lambda a, x: a + x)
     enough &= F.coalesce(both >= (F.col("total") + F.col("other_total")) * (threshold / (1 + threshold) * (1 - 10 * SLACK)), F.lit(True))
-    met = found.where(~inside).join(asking, "slot").unionByName(found.where(inside).join(asking.where("other_root != other_most"), "slot"))
-    met = met.where((F.col("root") != F.col("other_root")) & enough & ~F.arrays_overlap("before", "other_before"))
-    return met.select(F.least("key", "other_key").alias("centre"), F.greatest("key", "other_key").alias("key")).distinct()
+    met = found.where(~inside).join(asking, "slot").unionByName(found.where(inside).join(asking.where("other_part != other_most"), "slot"))
+    met = met.where((F.col("part") != F.col("other_part")) & enough & ~F.arrays_overlap("before", "other_before"))
+    met = met.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
+    named = lambda column: nodes.select(F.col("node").alias(column), F.col("key").alias(f"key_{column}"))
+    return met.join(named("a"), "a").join(named("b"), "b").select(F.least("key_a", "key_b").alias("centre"), F.greatest("key_a", "key_b").alias("key"))
 
 
 def components(edges: DataFrame) -> DataFrame:
