@@ -11,6 +11,7 @@ from functools import wraps
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +81,75 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def text_slices(texts: list[str], chars: int = 4_000_000) -> list[list[str]]:
+    """`texts` in order, in runs of about `chars` characters (a longer text is its own run): what a run needs beside it stays small."""
+    out, size = [[]], 0
+    for text in texts:
+        if out[-1] and size + len(text) > chars:
+            out.append([])
+            size = 0
+        out[-1].append(text)
+        size += len(text)
+    return out
+
+
+class WordIds:
+    """Ids of texts word by word, each new word encoded once.
+
+    `encode`: (all ids, number of ids of each word) of a list of words. `split`: a column of texts to lists of words; blanks
+    part them if it is left out. Beyond `most` words those used most stay, half as many; which ones are known changes no result.
+    """
+
+    def __init__(self, encode, most: int, split=None):
+        self.encode, self.most = encode, most
+        self.split = split or (lambda texts: pc.split_pattern(texts, " "))
+        self.known = pa.array([], pa.large_string())
+        self.ids, self.start = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        self.size, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _gathered(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these words, and where each word's ids end there."""
+        size = self.size[numbers]
+        end = np.cumsum(size)
+        place = np.repeat(self.start[numbers] - (end - size), size)
+        place += np.arange(len(place))
+        return self.ids[place], end
+
+    def _forget(self) -> None:
+        kept = np.flatnonzero(self.uses > 1)
+        if len(kept) > self.most // 2:
+            kept = np.sort(kept[np.argpartition(self.uses[kept], -(self.most // 2))[-(self.most // 2) :]])
+        self.ids, end = self._gathered(kept)
+        self.known, self.size, self.uses = self.known.take(pa.array(kept)), self.size[kept], self.uses[kept] // 2
+        self.start = end - self.size
+
+    def _learn(self, words: pa.Array) -> None:
+        ids, size = self.encode(words.to_numpy(zero_copy_only=False).tolist())
+        self.known = pa.concat_arrays([self.known, words])
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+        self.ids = np.concatenate([self.ids, ids])
+        self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int64)])
+        self.size = np.concatenate([self.size, size])
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one after the other, and where each text's begin; their end comes last. Null: no words."""
+        if len(self.size) > self.most:
+            self._forget()
+        words = self.split(pa.array(texts, pa.large_string()))
+        counts = pc.fill_null(pc.list_value_length(words), 0).to_numpy()
+        coded = words.flatten().dictionary_encode()
+        place = pc.index_in(coded.dictionary, self.known)
+        number = pc.fill_null(place, -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            number[new] = len(self.size) + np.arange(len(new))
+            self._learn(coded.dictionary.take(pa.array(new)))
+        found = number[coded.indices.to_numpy()]
+        self.uses += np.bincount(found, minlength=len(self.size))
+        ids, end = self._gathered(found)
+        return ids, np.append(0, end)[np.append(0, np.cumsum(counts))]
+
+
 def give_back() -> None:
     """Hands memory that this process has freed back to the system."""
     gc.collect()

@@ -5,7 +5,7 @@ ranks: -log(1 + rank). Characters that no piece covers cost the least score minu
 Blanks are written as the marker U+2581, one before the text as well, and turn back into blanks on decoding.
 
 No piece has a marker or line feed after another character, so the best path of a text is that of its words put together;
-each distinct word goes through the trie once per task, all new words of a batch at once in numpy.
+each new word goes through the trie once while a worker remembers it, all new words of a batch at once in numpy.
 
 Null and empty texts give no pieces and decode to the empty text. A marker in the text decodes as a blank, which shows in
 `round_trip`. Repeated rows get a row each. Extra columns are ignored.
@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import WordIds, small_batches, table, text_slices
 
 MARK = "▁"
 #: What a character outside the vocabulary costs more than the rarest piece.
 UNKNOWN_PENALTY = 10.0
 CACHE_WORDS = 300_000
+#: Words of at most so many bytes are searched as columns of one table.
+SHORT = 48
 
 
 @dataclass(frozen=True)
@@ -130,6 +132,86 @@ def load(path: str) -> Model:
     return Model(build_trie(keys), score, byte_ids, plain)
 
 
+def paths(model: Model, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The best path of each word, as `viterbi` finds it: (ids of all words, number of ids of each)."""
+    length = np.array([len(w) for w in words], np.int64)
+    order = np.argsort(-length, kind="stable")
+    split = int(np.searchsorted(-length[order], -SHORT))
+    size, ids = np.zeros(len(words), np.int64), []
+    for part in [order[:split], *(order[at : at + 8192] for at in range(split, len(words), 8192))]:
+        own = [words[k] for k in part.tolist()]
+        found, size[part] = short_paths(model, own, length[part]) if len(part) and length[part[0]] <= SHORT else _joined(viterbi(model, own))
+        ids.append(found)
+    # From the order of lengths to that of `words`.
+    flat, at = np.concatenate(ids), np.zeros(len(words), np.int64)
+    at[order] = np.cumsum(size[order]) - size[order]
+    end = np.cumsum(size)
+    return flat[np.repeat(at - (end - size), size) + np.arange(len(flat))], size
+
+
+def _joined(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([np.zeros(0, "<u4"), *found]), np.array([len(x) for x in found], np.int64)
+
+
+def short_paths(model: Model, words: list[bytes], length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`paths` of words that come longest first: a column each, so that those with a byte at an offset are the first ones.
+
+    Offsets ascend, so a place's best path is known before pieces start there, and of equal paths the one whose last piece
+    is longer came first. The bytes of an uncovered character are steps of their own.
+    """
+    n, most, trie = len(words), int(length[0]), model.trie
+    text = np.frombuffer(b"".join(w.ljust(most, b"\0") for w in words), np.uint8).reshape(n, most).T.astype(np.int64)
+    opens = (text & 0xC0) != 0x80
+    active = np.searchsorted(-length, -np.arange(most + 1))  # words longer than the offset
+    best, back = np.full((most + 1, n), -np.inf), np.zeros((most + 1, n), np.int64)
+    by = np.zeros((most + 1, n), np.int64)
+    best[0] = 0
+    for at in range(most):
+        first = live = np.flatnonzero(opens[at, : active[at]])
+        state, bare, depth = np.zeros(len(live), np.int64), np.ones(n, bool), 0
+        # Bytes of the character that begins here.
+        wide = 1 + (text[at, first] >= 0xC0) + (text[at, first] >= 0xE0) + (text[at, first] >= 0xF0)
+        alone = np.zeros(n, np.int64)
+        alone[first] = wide
+        while len(live) and at + depth < most:
+            inside = np.searchsorted(live, active[at + depth])
+            live, state = live[:inside], state[:inside]
+            step = trie.base[state] + text[at + depth, live]
+            ok = np.flatnonzero(trie.check[step] == state)
+            live, state, depth = live[ok], step[ok], depth + 1
+            piece = trie.piece[state]
+            hit = np.flatnonzero(piece >= 0)
+            if not len(hit):
+                continue
+            own, piece = live[hit], piece[hit]
+            if depth <= 4:
+                bare[own[alone[own] == depth]] = False
+            value, target = best[at, own] + model.score[piece], at + depth
+            better = np.flatnonzero(value > best[target, own])
+            own = own[better]
+            best[target, own], back[target, own], by[target, own] = value[better], depth, piece[better]
+        for width in range(1, 5):
+            own = first[(wide == width) & bare[first]]
+            if len(own):
+                value = best[at, own] + model.unknown
+                for k in range(1, width):  # no piece ends within a character
+                    back[at + k, own], by[at + k, own] = 1, model.byte_ids[text[at + k - 1, own]]
+                own = own[value > best[at + width, own]]
+                value = best[at, own] + model.unknown
+                best[at + width, own], back[at + width, own], by[at + width, own] = value, 1, model.byte_ids[text[at + width - 1, own]]
+    live, place, size, steps = np.flatnonzero(length > 0), length.copy(), np.zeros(n, np.int64), []
+    while len(live):
+        steps.append((live, by[place[live], live]))
+        place[live] -= back[place[live], live]
+        size[live] += 1
+        live = live[place[live] > 0]
+    end = np.cumsum(size)
+    ids = np.zeros(int(end[-1]), "<u4")
+    for k, (own, piece) in enumerate(steps):
+        ids[end[own] - 1 - k] = piece
+    return ids, size
+
+
 def viterbi(model: Model, words: list[bytes]) -> list[np.ndarray]:
     """The best path of each word (UTF-8, markers in place): piece ids, byte pieces for uncovered characters.
 
@@ -203,38 +285,45 @@ class Encoder:
     """Encodes texts word by word, each distinct word once."""
 
     def __init__(self, model: Model):
-        self.model, self.words = model, {}
+        self.model, self.words = model, WordIds(lambda words: paths(model, [self._spelt(w) for w in words]), CACHE_WORDS)
+        self.plain = pa.array(model.plain, pa.large_binary())
 
     @staticmethod
-    def split(text: str) -> list[str]:
-        """Words as cache keys: a blank before each is understood, but not before one that begins with a line feed."""
+    def split(text: str) -> str | None:
+        """Words as cache keys, a blank between them: a marker before each is understood, but not before one that begins with a line feed."""
         if not text:
-            return []
+            return None
         if text[0] != " " and "  " not in text and " \n" not in text and MARK not in text:
-            return text.replace("\n", " \n").split(" ")
+            return text.replace("\n", " \n")
         marked = re.findall(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*|[^{MARK}\n]+", MARK + text.replace(" ", MARK))
-        return [x[1:] if x[0] == MARK and x[1:2] != "\n" else x for x in marked]
+        return " ".join(x[1:] if x[0] == MARK and x[1:2] != "\n" else x for x in marked)
 
     @staticmethod
     def _spelt(key: str) -> bytes:
         return (key if key[:1] == "\n" else MARK + key).encode("utf-8", "replace")
 
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's begin; their end comes last."""
+        return self.words([self.split(t) for t in texts])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
-        split = [self.split(t) for t in texts]
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        new = list({w for words in split for w in words}.difference(self.words))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self.words.update(zip(part, [x.tobytes() for x in viterbi(self.model, [self._spelt(w) for w in part])], strict=True))
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        out = []
+        for part in text_slices(texts):
+            ids, cut = self.ids(part)
+            out += [ids[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        return out
+
+    def texts(self, ids: np.ndarray, cut: np.ndarray) -> list[str]:
+        """The text of each sequence: pieces and bytes put together, markers as blanks, the one before the text dropped."""
+        _, offsets, data = self.plain.take(pa.array(ids)).buffers()
+        at = np.frombuffer(offsets, np.int64)[cut].tolist() if len(ids) else [0] * len(cut)
+        data = memoryview(data or b"")
+        return [str(data[a:b], "utf-8", "replace").removeprefix(" ") for a, b in zip(at, at[1:], strict=False)]
 
     def decode(self, ids: np.ndarray) -> str:
-        """The text of a sequence: pieces and bytes put together, markers as blanks, the one before the text dropped."""
-        text = b"".join(map(self.model.plain.__getitem__, ids.tolist())).decode("utf-8", "replace")
-        return text.removeprefix(" ")
+        """The text of one sequence."""
+        return self.texts(ids, np.array([0, len(ids)]))[0]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -285,12 +374,12 @@ def round_trip(docs: DataFrame, path: str, text_col: str = "text", id_col: str =
         is_byte = np.zeros(len(own.model.plain), bool)
         is_byte[own.model.byte_ids] = True
         for batch in batches:
-            rows = []
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for doc, text, found in zip(ids, texts, own.encode(texts), strict=True):
-                pieces = np.frombuffer(found, "<u4")
-                back = own.decode(pieces)
-                rows.append((doc, len(pieces), int(is_byte[pieces].sum()), zlib.crc32(found), hashlib.sha256(back.encode()).hexdigest(), back == text))
+            rows, ids = [], iter(batch.column(0).to_pylist())
+            for texts in text_slices([t or "" for t in batch.column(1).to_pylist()]):
+                found, cut = own.ids(texts)
+                n_bytes = np.append(0, np.cumsum(is_byte[found]))[cut]
+                for text, back, a, b, k in zip(texts, own.texts(found, cut), cut[:-1].tolist(), cut[1:].tolist(), np.diff(n_bytes).tolist(), strict=True):
+                    rows.append((next(ids), b - a, k, zlib.crc32(found[a:b]), hashlib.sha256(back.encode()).hexdigest(), back == text))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
 

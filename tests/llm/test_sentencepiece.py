@@ -93,6 +93,27 @@ def test_brute_force_on_short_words():
         assert best(word) == pytest.approx(sum(model.score[i] for i in covered) + model.unknown * sum(c.encode() not in keys for c in word))
 
 
+def test_paths_of_words_of_all_lengths():
+    """Words that are searched as columns of one table get the paths of the search over edges, in any order of lengths."""
+    rng, model = np.random.default_rng(3), su.load(PATH)
+    letters = np.array(list("aeinrstdlo.,'-19 Aéßñ漢字😀\x00\n▁"))
+    words = ["".join(rng.choice(letters, int(n))).encode() for n in rng.choice([0, 1, 2, 4, 9, 15, 16, 20, 47, 48, 49, 90], 1500)]
+    ids, size = su.paths(model, words)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == [x.tolist() for x in su.viterbi(model, words)]
+
+
+def test_frequent_words_are_searched_once(monkeypatch):
+    monkeypatch.setattr(su, "CACHE_WORDS", 60)
+    own, searched = su.Encoder(su.load(PATH)), []
+    encode = own.words.encode
+    monkeypatch.setattr(own.words, "encode", lambda words: (searched.extend(words), encode(words))[1])
+    texts = [f"often  seen {k} often\nseen rare{k} rarer{k}" for k in range(200)]
+    plain = su.Encoder(su.load(PATH))
+    for text in texts:
+        assert own.encode([text]) == plain.encode([text]) and own.decode(np.frombuffer(own.encode([text])[0], "<u4")) == text
+    assert searched.count("often") == searched.count("▁seen") == searched.count("\nseen") == 1 and len(own.words.known) <= 70
+
+
 def test_round_trip():
     own = su.Encoder(su.load(PATH))
     for text, found in zip(TEXTS, own.encode(TEXTS), strict=True):
