@@ -20,24 +20,26 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lean, small_batches, staged, table, task_id
+from .common import WordIds, lean, small_batches, staged, table, task_id, text_slices
 
 CAPACITY = 2048
 #: Words whose ids a task remembers at once.
 CACHE_WORDS = 300_000
 
-#: Below this code point the word pattern is spelt out; texts with any other character go to the tokenizer whole.
-_PLAIN = 0x250
+#: Below this code point the word pattern is spelt out, and letters stay below it in lower case; texts with any other character
+#: go to the tokenizer whole.
+_PLAIN = 0x180
 
 
 def _classes() -> re.Pattern:
     chars = [chr(k) for k in range(_PLAIN)]
     letters = "".join(re.escape(c) for c in chars if unicodedata.category(c)[0] == "L")
     digits = "".join(re.escape(c) for c in chars if unicodedata.category(c)[0] == "N")
-    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^\s\x1c-\x1f{letters}{digits}]+")
+    return re.compile(rf"[{letters}]+|'s|'t|'re|'ve|'m|'ll|'d|[{digits}]|[^\s\x1c-\x1f{letters}{digits}]+")
 
 
 class WordTokenizer:
@@ -51,32 +53,41 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[k for piece, k in vocabulary.items() if piece.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
+        self.words = WordIds(self._word_ids, CACHE_WORDS)
+        self.runs = WordIds(self._run_ids, CACHE_WORDS, pc.utf8_split_whitespace)  # no word holds white space
         self.split = _classes().findall
-        self.odd = re.compile(r"[^\x00-\x1b\x20-\x84\x86-įı-ɏ]|<\|").search
+        self.odd = re.compile(r"[^\x00-\x1b\x20-\x84\x86-įı-ſ]|<\|").search
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word_ids(self, words: list[str]) -> list[bytes]:
+    def _joined_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Words in one text, a blank between them: merges stay within a word, whose last token is marked as such."""
-        joined = b"".join(self._ids([" ".join(words)]))
-        ends = 4 * (np.flatnonzero(self.last[np.frombuffer(joined, "<u4")]) + 1)
-        if len(ends) != len(words):
-            return self._ids(words)
-        return [joined[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        (joined,) = self._ids([" ".join(words)])
+        ends = np.flatnonzero(self.last[joined]) + 1
+        if len(ends) == len(words) and ends[-1] == len(joined):
+            return joined, np.diff(ends, prepend=0)
+        found = self._ids(words)
+        return np.concatenate(found), np.array([len(x) for x in found])
+
+    def _word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self._joined_ids(words[at : at + 1000]) for at in range(0, len(words), 1000)]
+        return np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])
+
+    def _run_ids(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of runs without white space, from those of their words."""
+        ids, cut = self.words([" ".join(self.split(run)) or None for run in runs])
+        return ids, np.diff(cut)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
-        plain = [None if self.odd(t) else self.split(t.lower()) for t in texts]
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        new = list({w for words in plain if words for w in words}.difference(self.words))
-        for at in range(0, len(new), 1000):
-            self.words.update(zip(new[at : at + 1000], self._word_ids(new[at : at + 1000]), strict=True))
-        whole = iter(self._ids([t for t, words in zip(texts, plain, strict=True) if words is None]))
-        get = self.words.__getitem__
-        return [next(whole) if words is None else b"".join(map(get, words)) for words in plain]
+        return [x for part in text_slices(texts) for x in self._encode(part)]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        odd = [self.odd(t) is not None for t in texts]
+        whole = iter(self._ids([t for t, own in zip(texts, odd, strict=True) if own]))
+        ids, cut = self.runs([None if own else t.lower() for t, own in zip(texts, odd, strict=True)])
+        return [(next(whole) if own else ids[a:b]).tobytes() for own, a, b in zip(odd, cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
 @lru_cache(maxsize=1)

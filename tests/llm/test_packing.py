@@ -56,6 +56,27 @@ def test_ids_equal_the_library():
     assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == expected
 
 
+def test_runs_are_cut_once_and_frequent_words_stay(monkeypatch):
+    """Runs between white space go through the pattern when they are new; ids equal the library's, also once words were forgotten."""
+    monkeypatch.setattr(packing, "CACHE_WORDS", 60)
+    own, cut, merged = packing.WordTokenizer(PATH), [], []
+    split, encode = own.split, own.words.encode
+    own.split = lambda text: (cut.append(text), split(text))[1]
+    own.words.encode = lambda words: (merged.extend(words), encode(words))[1]
+    texts = [f"Often,\u00a0 it's seen\tNo.{k} (rare{k}) often, 漢{k}\x1c" if k % 9 == 0 else f" often,\u00a0 it's seen\tNo.{k} (rare{k}) OFTEN,\n" for k in range(200)]
+    library = Tokenizer.from_file(PATH)
+    for text in texts:
+        assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert cut.count("often,") == cut.count("it's") == 1 and merged.count("often") == 1 and len(own.runs.known) <= 70
+
+
+def test_white_space_parts_runs_as_the_pattern_does():
+    own = packing.WordTokenizer(PATH)
+    library = Tokenizer.from_file(PATH)
+    texts = [f"ab{c}cd {c}'s{c}1" for c in map(chr, range(0x300))]  # capitals such as Ɓ turn into letters beyond ɏ
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_pack(spark):
     rows = [(1, "word " * 3000, "c"), (1, "word", "c"), (None, None, "d"), (4, "", "e"), *((10 + k, "some text here " * (k % 30), "f") for k in range(200))]
     docs = spark.createDataFrame(rows, "doc_id long, text string, length string").repartition(4)
