@@ -18,6 +18,12 @@ from pyspark.sql import functions as F
 #: Rows in one Arrow batch: 2,048 documents of a few KB stay far below a worker's memory.
 ARROW_ROWS = 2048
 
+#: In a local folder Hadoop starts a `chmod` for each new file and folder and each file of checksums beside one, and until such a
+#: child has begun its own program all memory of the executor counts twice. Staged tables do without the files of checksums;
+#: their pages carry checksums, which are verified. Other stores are left as they are.
+_PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+_VERIFIED = {"parquet.page.write-checksum.enabled": "true", "parquet.page.verify-checksum.enabled": "true"}
+
 _roots: dict[str, str] = {}
 
 
@@ -59,8 +65,8 @@ def staged(df: DataFrame, name: str = "stage", files: int | None = None) -> Data
     spark = df.sparkSession
     df = df if files is None else df.coalesce(max(1, files))
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.options(compression="zstd", **_PLAIN, **_VERIFIED).parquet(path)
+    return spark.read.options(**_VERIFIED).schema(df.schema).parquet(path)
 
 
 def drop_staged(df: DataFrame) -> None:

@@ -295,13 +295,13 @@ def links(docs: DataFrame, firsts: DataFrame, threshold: float = THRESHOLD) -> D
     shared = met.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
     at = F.collect_list(F.struct("band", "bucket")).alias("at")  # a node has BANDS of them at most
     members = met.join(shared, ["band", "bucket"]).groupBy("key").agg(F.any_value("total").alias("total"), F.sum("n").alias("degree"), at)
-    members = staged(members, "members")
+    members = staged(members, "members", nodes.count() // 2_000)
     drop_staged(nodes)
     number = members.count()
     # Of a node's copies the first one's text is moved: no task gets all copies.
     heads = members.select("key").join(firsts, "key").select("key", F.col("first").alias("doc_id"))
     texts = _texts(docs).alias("t").join(heads.alias("h"), (F.col("t.key") == F.col("h.key")) & F.col("t.doc_id").eqNullSafe(F.col("h.doc_id"))).select("t.key", "z")
-    texts = staged(texts.groupBy("key").agg(F.any_value("z").alias("z")), "candidates")
+    texts = staged(texts.groupBy("key").agg(F.any_value("z").alias("z")), "candidates", number // 2_000)
     alike = (threshold * (1 - SLACK)) * F.greatest("total", "centre_total") <= F.least("total", "centre_total")  # else one set outweighs the other
 
     def tested(pairs: DataFrame, most: int) -> DataFrame:
@@ -479,8 +479,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round takes the smallest root among the neighbours, then the root's root, so rounds grow with the logarithm of the longest path.
     """
-    both = staged(edges.select(F.col("centre").alias("a"), F.col("key").alias("b")).union(edges.select("key", "centre")).distinct(), "links")
-    few = both.count() // 100_000
+    few = 2 * edges.count() // 100_000
+    both = staged(edges.select(F.col("centre").alias("a"), F.col("key").alias("b")).union(edges.select("key", "centre")).distinct(), "links", few)
     roots = staged(both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("b")).select("key", F.least("key", "b").alias("root")), "roots", few)
     while True:
         offered = both.join(roots.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.min("root").alias("offer"))
